@@ -1,57 +1,23 @@
-"""Shared helpers: shared-storage staging, Arrow row mappers, safe text access."""
+"""Arrow row mappers over whole texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from folioframe.shipping import ship
+from folioframe.storage import shared_dir, staged
+
+__all__ = ["map_rows", "shared_dir", "staged", "sub_batches"]
 
 #: Texts handled at once inside a mapper; bounds a worker's memory with long documents.
 BATCH_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made and set as checkpoint directory.
-    """
-    ship(spark)
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(found)
-        return found.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioframe-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The written table cuts the lineage: a lost executor costs a re-read, not a
-    recomputation, and values that depend on task layout stay as they were committed.
-    """
-    path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def sub_batches(batch: pa.RecordBatch, text_col: int, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int, list[str]]]:
     """Slices ``[lo, hi)`` of a record batch whose texts hold about ``limit`` bytes at most."""
     col = batch.column(text_col)
