@@ -12,9 +12,8 @@ The tables here have no audio: ``render`` makes a recording of each vector of
 
 Search: queries are the rows whose id is divisible by EVERY, against all rows. Recordings
 with equal fingerprints are one class and only classes are compared, so many copies of one
-recording cost one comparison. Integers that occur in more than COMMON recordings carry no
-offset information for the histogram's first pass; classes that share only such integers
-with a query are compared by bit errors at all offsets in blocks of rows.
+recording cost one comparison. Votes come from an equality join on the integers, summed by
+pair and offset; no integer is left out, however common.
 
 Edge cases: null and empty recordings, and ones shorter than a fingerprint needs, have an
 empty fingerprint and no match; nulls among samples count as silence; repeated rows give
@@ -136,7 +135,7 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 def match(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY) -> DataFrame:
     """vec_id, n_frames, fp_crc32, class_id, is_query, n_matches, best_class, best_offset, best_ber.
 
-    A match is another class whose offset histogram has MIN_VOTES at its best offset and
+    A match is another class whose offset histogram has MIN_VOTES votes at its best offset and
     whose bit error rate there is MAX_BER at most, over half of the shorter one at least.
     """
     fps = common.staged(fingerprints(rows, id_col, vector_col), "audio")
