@@ -16,9 +16,9 @@ whole sequence is its one shingle, without words the set is empty and linked wit
    pairs far below the threshold (SIGMAS standard errors); the others are confirmed on
    the full sets. Links give components.
 5. Buckets whose members are then still in several components are searched completely:
-   blocks of members are compared register by register, pairs of different components near
-   the threshold are confirmed on the full sets. No bucket is capped, and large ones are
-   split in blocks.
+   blocks of members are compared register by register, and pairs of different components
+   near the threshold are confirmed on the full sets, inside the block. No bucket is capped,
+   and large ones are split in blocks.
 
 So hot groups cost a star each, and only members that no star explains are compared more.
 
@@ -47,7 +47,7 @@ M = BANDS * ROWS
 #: SetSketch parameters: base, rate and largest register value.
 BASE, RATE, Q = 1.001, 20.0, 65534
 SIGMAS = 5.0
-BLOCK = 1024
+BLOCK = 512
 SEED = 11
 _RNG = np.random.default_rng(SEED)
 _MULT = (_RNG.integers(0, 1 << 32, M, dtype=np.uint64) | 1).astype(np.uint32)
@@ -228,7 +228,7 @@ def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataF
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
     """Pairs whose full sets reach the threshold: 100 * intersection >= threshold * union."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     reps = used.join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("_rep"))
     sets = common.staged(_sets(docs, reps, id_col, text_col), "dedup-sets")
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("els").alias("ea")), "a")
@@ -263,50 +263,105 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return common.staged(stars.unionByName(roots).distinct(), name)
 
 
-def _mixed_pairs(buckets: DataFrame, comps: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Likely pairs of different components inside buckets that hold several components."""
+def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column without Python objects."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    off = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[off[0] : off[-1]], off - off[0]
+
+
+def _candidates(key, table: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs of different components in a pair of blocks of a bucket.
+
+    Returns both members' places, the estimates, and the components as numbers. A pair is
+    looked at in its first common bucket alone.
+    """
     cut = _cut(threshold)
+    comp = table["comp"].to_pylist()
+    mine, n = table["mine"].to_numpy(), table["n"].to_numpy().astype(float)
+    regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype=np.uint16).reshape(-1, M)
+    bands = _numbers(table["bands"])[0].reshape(-1, BANDS)
+    names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
+    label = np.array([names[c] for c in comp])
+    bucket, x, y = (k.as_py() for k in key)
+    band = int(np.flatnonzero((bands == bucket).all(0))[0])
+    left, right = (np.flatnonzero(mine == x), np.flatnonzero(mine == y)) if x != y else (np.arange(len(comp)),) * 2
+    ii, jj = [], []
+    for i in left:
+        js = right[right > i] if x == y else right
+        js = js[label[js] != label[i]]
+        js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * threshold]
+        if len(js):  # agreement alone falls as far below the threshold for unlikely pairs
+            js = js[np.count_nonzero(regs[js] == regs[i], axis=1) >= M * (cut - 0.03)]
+        if band and len(js):
+            js = js[~(bands[js, :band] == bands[i, :band]).any(1)]
+        if len(js):
+            ii.append(np.full(len(js), i))
+            jj.append(js)
+    ii, jj = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (ii, jj))
+    est = np.zeros(len(ii))
+    for lo in range(0, len(ii), 8192):
+        i, j = ii[lo : lo + 8192], jj[lo : lo + 8192]
+        est[lo : lo + 8192] = estimate((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), n[i], n[j])
+    good = est >= cut
+    return ii[good], jj[good], est[good], label
+
+
+def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """Confirmed links between different components inside buckets that hold several.
+
+    First, members with a likely partner are found; only their full sets are fetched. Then
+    pairs are confirmed inside the blocks, the likeliest first, and a pair whose members a
+    confirmed link already connects is passed over. Neither pass emits pairs: members, then
+    the links of a spanning forest.
+    """
     labelled = buckets.join(comps, "cls", "left").select("bucket", "cls", F.coalesce("comp", "cls").alias("comp"))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     rows = labelled.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", "cls", "comp", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    rows = rows.join(classes.select("cls", "n", "regs", "bands"), "cls").select("bucket", "x", "y", "mine", "cls", "comp", "n", "regs", "bands")
-
-    def run(key, table):
-        cls, comp = table["cls"].to_pylist(), table["comp"].to_pylist()
-        mine, n = np.array(table["mine"].to_pylist()), np.array(table["n"].to_pylist(), dtype=float)
-        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype=np.uint16).reshape(-1, M)
-        bands = np.array(table["bands"].to_pylist(), dtype=np.int64).reshape(-1, BANDS)
-        names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-        label = np.array([names[c] for c in comp])
-        bucket, x, y = (k.as_py() for k in key)
-        band = int(np.flatnonzero((bands == bucket).all(0))[0]) if len(cls) else 0
-        left, right = (np.flatnonzero(mine == x), np.flatnonzero(mine == y)) if x != y else (np.arange(len(cls)),) * 2
-        ii, jj = [], []
-        for i in left:
-            js = right[right > i] if x == y else right
-            js = js[label[js] != label[i]]
-            js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * threshold]
-            if len(js):  # agreement alone falls as far below the threshold for unlikely pairs
-                js = js[np.count_nonzero(regs[js] == regs[i], axis=1) >= M * (cut - 0.03)]
-            if band and len(js):  # a pair is looked at in its first common bucket alone
-                js = js[~(bands[js, :band] == bands[i, :band]).any(1)]
-            if len(js):
-                ii.append(np.full(len(js), i))
-                jj.append(js)
+    sketch = classes.select("cls", "n", "regs", "bands")
+
+    def likely(key, table):
+        ii, jj, _, _ = _candidates(key, table, threshold)
+        return table.take(pa.array(np.unique(np.r_[ii, jj]).astype(np.int64))).select(["bucket", "x", "y", "mine", "cls", "comp"])
+
+    members = rows.join(sketch, "cls").groupBy("bucket", "x", "y").applyInArrow(likely, "bucket long, x int, y int, mine int, cls binary, comp binary")
+    members = common.staged(members, "dedup-members")
+    if not members.take(1):
+        return members.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    reps = members.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("_rep")), "cls")
+    sets = common.staged(_sets(docs, reps, id_col, text_col), "dedup-sets")
+
+    def confirmed(key, table):
+        ii, jj, est, label = _candidates(key, table, threshold)
+        values, off = _numbers(table["els"])
+        root = np.arange(label.max() + 1)
+
+        def find(k):
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
         a, b = [], []
-        ii, jj = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (ii, jj))
-        for lo in range(0, len(ii), 8192):
-            i, j = ii[lo : lo + 8192], jj[lo : lo + 8192]
-            est = estimate((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), n[i], n[j])
-            for k in np.flatnonzero(est >= cut):
-                a.append(cls[i[k]])
-                b.append(cls[j[k]])
+        cls = table["cls"]
+        for at in np.argsort(-est, kind="stable"):
+            i, j = int(ii[at]), int(jj[at])
+            p, q = find(label[i]), find(label[j])
+            if p != q:
+                one, two = values[off[i] : off[i + 1]], values[off[j] : off[j + 1]]
+                inter = len(np.intersect1d(one, two, assume_unique=True))
+                if inter * 100 >= (len(one) + len(two) - inter) * threshold:
+                    root[p] = q
+                    a.append(cls[i].as_py())
+                    b.append(cls[j].as_py())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a binary, b binary")
+    full = members.join(sketch, "cls").join(sets, "cls")
+    return full.groupBy("bucket", "x", "y").applyInArrow(confirmed, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
@@ -332,10 +387,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = common.staged(_likely(pairs, threshold), "dedup-stars")
     links = common.staged(_confirm(stars, classes, docs, id_col, text_col, threshold), "dedup-links")
     comps = components(links)
-    more = common.staged(_mixed_pairs(buckets.select("bucket", "cls"), comps, classes, threshold).distinct(), "dedup-more")
+    more = common.staged(_mixed_links(buckets.select("bucket", "cls"), comps, classes, docs, id_col, text_col, threshold), "dedup-more")
     if more.take(1):
-        links = links.unionByName(_confirm(more, classes, docs, id_col, text_col, threshold))
-        comps = components(links)
+        comps = components(links.unionByName(more))
     named = sk.select("doc_id", "cls", "n").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = named.where("n > 0").join(least, "comp").select("doc_id", "cls", "n", "component_id")
