@@ -29,6 +29,7 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,14 @@ class Transducer:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = i
+        self.high = {i for b, i in enumerate(self.bytes) if b > 127}
+        self.shown = ["" if k not in (NORMAL, BYTE) else p.replace(SPACE, " ") for p, k in zip(self.m.pieces, self.m.kinds)]
+        for b, i in enumerate(self.bytes):
+            self.shown[i] = chr(b)
         self.longest = max(map(len, self.ids), default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.marked: dict[str, tuple[int, ...]] = {}  # by the word without its space mark
 
     # -- composition and shortest path ------------------------------------------------
 
@@ -194,6 +200,13 @@ class Transducer:
         return tuple(i for ids in taken for i in ids)
 
     def encode(self, text: str) -> list[int]:
+        if text and self.m.add_dummy_prefix and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            words = text.split(" ")
+            if len(self.marked) > CACHE:
+                self.marked.clear()
+            for w in set(words).difference(self.marked):
+                self.marked[w] = self.path(SPACE + w)
+            return list(chain.from_iterable(map(self.marked.__getitem__, words)))
         out: list[int] = []
         lone = (self.ids.get(SPACE),)
         for run, word in re.findall(f"({SPACE}*)([^{SPACE}]*)", self.normalise(text)):
@@ -213,6 +226,9 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The inverse machine: pieces to text, byte runs to characters."""
+        if self.high.isdisjoint(ids):  # ASCII bytes are characters by themselves
+            text = "".join(map(self.shown.__getitem__, ids))
+            return text[1:] if self.m.add_dummy_prefix and text[:1] == " " else text
         out, held = [], bytearray()
         for i in [*ids, None]:
             if i is not None and self.m.kinds[i] == BYTE:
