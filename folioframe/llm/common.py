@@ -12,26 +12,31 @@ from pyspark.sql import types as T
 from folioframe.shipping import ship
 from folioframe.storage import shared_dir, staged
 
-__all__ = ["map_rows", "shared_dir", "staged", "sub_batches"]
+__all__ = ["map_rows", "shared_dir", "staged", "sub_batches", "sub_ranges"]
 
 #: Texts handled at once inside a mapper; bounds a worker's memory with long documents.
 BATCH_CHARS = 4_000_000
 
 
-def sub_batches(batch: pa.RecordBatch, text_col: int, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+def sub_ranges(batch: pa.RecordBatch, text_col: int, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Slices ``[lo, hi)`` of a record batch whose texts hold about ``limit`` bytes at most."""
-    col = batch.column(text_col)
     lo, n = 0, batch.num_rows
-    sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
     while lo < n:
         hi, size = lo, 0
         while hi < n and (hi == lo or size + sizes[hi] <= limit):
             size += sizes[hi]
             hi += 1
-        yield lo, hi, [t or "" for t in col.slice(lo, hi - lo).to_pylist()]
+        yield lo, hi
         lo = hi
 
 
+def sub_batches(batch: pa.RecordBatch, text_col: int, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """The same slices with their texts; null texts are empty."""
+    for lo, hi in sub_ranges(batch, text_col, limit):
+        yield lo, hi, [t or "" for t in batch.column(text_col).slice(lo, hi - lo).to_pylist()]
+
+
 def map_rows(
     df: DataFrame,
     text_col: int,

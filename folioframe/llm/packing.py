@@ -28,10 +28,15 @@ are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,41 +45,138 @@ from pyspark.sql.window import Window
 
 from . import common
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: The joint queue of sources below one token a window.
 REST = -1
 
+#: What the plain path below knows how to do without the library's
+#: normaliser and splitter. Another tokenizer takes the library's whole path for all words.
+PLAIN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words with more than printable ASCII and the Latin-1 letters, which NFC leaves as they are
+#: and which are lower-cased letter by letter.
+NOT_PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*[^\n!-~\xc0-\xd6\xd8-\xf6\xf8-\xff][^\n]*")
+PLAIN_PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\na-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+class Ragged:
+    """Sequences of token ids by key, in one growing array."""
+
+    def __init__(self) -> None:
+        self.row: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.row.clear()
+        self.ids = np.empty(0, dtype=np.uint32)
+        self.starts = np.empty(0, dtype=np.int64)
+        self.sizes = np.empty(0, dtype=np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.row.update(zip(keys, range(len(self.sizes), len(self.sizes) + len(keys))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def rows(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of many rows, one after the other, and the size of each."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rows] - ends + sizes, sizes)
+        return self.ids[at], sizes
+
 
 class WordEncoder:
-    """Token ids as little-endian unsigned 32-bit bytes, by white-space separated words.
+    """Token ids of texts, by white-space separated words.
 
     The tokenizer's normaliser turns every run of white space into one space, which its
-    pre-tokenizer drops, and nothing crosses it: words can be encoded one by one.
+    pre-tokenizer drops, and nothing crosses it: words can be encoded one by one, and each
+    different word once. Words of plain letters are lower-cased and split here, and the
+    library merges their different parts, many in a call: a part's last token bears the
+    vocabulary's mark of a word end, which tells the parts' ids apart. All other words,
+    and those with a special token's string, go through the whole library.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words, self.parts = Ragged(), Ragged()
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        suffix, splits = spec["model"].get("end_of_word_suffix"), (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = bool(suffix) and (spec["normalizer"] or {}).get("normalizers") == PLAIN_NORMALIZER
+        self.plain = self.plain and splits[0].get("pattern") == {"Regex": PLAIN_SPLIT} and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+        if self.plain:
+            vocab = spec["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.last[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+            spec |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, splits[1]]}}
+            self.merge = Tokenizer.from_str(json.dumps(spec))
+
+    def _whole(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            ids = [e.ids for e in self.t.encode_batch_fast(part, add_special_tokens=False)]
+            self.words.add(part, np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.parts.row]
+        if len(self.parts.row) + len(new) > CACHE_WORDS:
+            self.parts.clear()
+            new = list(parts)
+        if "\n" not in self.parts.row:  # the border between words has no ids
+            self.parts.add(["\n"], np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
+        new = [p for p in new if p != "\n"]
+        for lo in range(0, len(new), 2_000):
+            some = new[lo : lo + 2_000]
+            ids = np.array(self.merge.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != len(some):
+                raise ValueError("this vocabulary does not mark the end of each part")
+            self.parts.add(some, ids, np.diff(ends, prepend=-1))
+
+    def learn(self, words: list[str]) -> None:
+        known = self.words.row
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            self.words.clear()
             new = list(words)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-
-    def batch(self, texts: list[str], end: int) -> list[bytes]:
+        if not self.plain:
+            return self._whole(new)
+        joined = "\n".join(new)
+        other = set(NOT_PLAIN.findall(joined))
+        for special in self.special:
+            if special in joined:
+                other.update(w for w in new if special in w)
+        plain = [w for w in new if w not in other] if other else new
+        self._whole(list(other))
+        if not plain:
+            return
+        found = PLAIN_PARTS.findall(("\n".join(plain) if other else joined).lower())
+        self._learn_parts(set(found))
+        rows = self.parts.rows(found)
+        ids, sizes = self.parts.gather(rows)
+        ends = np.cumsum(sizes)
+        border = np.flatnonzero(rows == self.parts.row["\n"])
+        self.words.add(plain, ids, np.diff(np.concatenate([[0], ends[border], ends[-1:]])))
+
+    def batch(self, texts: pa.Array, end: int) -> list[bytes]:
+        """Ids of each text and ``end``, as little-endian unsigned 32-bit bytes; null is empty."""
         # Only separators that are white space to every library; words may hold others.
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        tail = end.to_bytes(4, "little")
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + tail for words in split]
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(words)
+        ids, sizes = self.words.gather(self.words.rows(words)[coded.indices.to_numpy()])
+        at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[at].tolist()
+        tail, ids = end.to_bytes(4, "little"), ids.astype("<u4", copy=False)
+        return [ids[a:b].tobytes() + tail for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -111,9 +213,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
         seen: dict[str | None, int] = {}
         total = 0
         for batch in batches:
-            for lo, hi, texts in common.sub_batches(batch, 1):
+            for lo, hi in common.sub_ranges(batch, 1):
                 ids, sources = batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo).to_pylist()
-                blobs = enc.batch(texts, end)
+                blobs = enc.batch(batch.column(1).slice(lo, hi - lo), end)
                 n = [len(b) // 4 for b in blobs]
                 before, joint = [], []
                 for s, k in zip(sources, n):
