@@ -110,17 +110,18 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id and fingerprint (array of integers) of every row's recording."""
+    """id and fingerprint (``fp`` array of integers, ``raw`` their four bytes each) of every row's recording."""
     ship(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                prints = [fingerprint(render(v)).astype(np.int64) for v in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.list_(pa.int64()))], names=["id", "fp"])
+                prints = [fingerprint(render(v)) for v in part.column(1).to_pylist()]
+                raw = pa.array([p.astype("<u4").tobytes() for p in prints], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.astype(np.int64) for p in prints], pa.list_(pa.int64())), raw], names=["id", "fp", "raw"])
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, fp array<bigint>")
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, fp array<bigint>, raw binary")
 
 
 def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
@@ -139,34 +140,36 @@ def match(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     whose bit error rate there is MAX_BER at most, over half of the shorter one at least.
     """
     fps = common.staged(fingerprints(rows, id_col, vector_col), "audio")
-    keyed = fps.withColumn("key", F.sha2(F.concat_ws(",", "fp"), 256))
-    classes = keyed.where(F.size("fp") > 0).groupBy("key").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max(F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))).alias("asked"))
-    classes = common.staged(classes, "audio-classes")
-    posts = classes.select("key", "asked", F.posexplode("fp").alias("pos", "sub"))
-    asks = posts.where("asked").select(F.col("key").alias("q"), F.col("pos").alias("qpos"), "sub")
+    keyed = fps.withColumn("key", F.sha2("raw", 256))
+    classes = keyed.where(F.size("fp") > 0).groupBy("key").agg(F.min("id").alias("class_id"), F.first("raw").alias("raw"), F.first("fp").alias("fp"), F.max(F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))).alias("asked"))
+    # Short numbers stand for the long keys in the votes; being written, they don't change.
+    classes = common.staged(classes.withColumn("no", F.monotonically_increasing_id()), "audio-classes")
+    posts = classes.select("no", "asked", F.posexplode("fp").alias("pos", "sub"))
+    asks = posts.where("asked").select(F.col("no").alias("q"), F.col("pos").alias("qpos"), "sub")
     # Votes of equal integers by offset; summed for each pair before the pair's bits are compared.
-    votes = asks.join(posts.select("key", "pos", "sub"), "sub").where("q <> key")
-    votes = votes.groupBy("q", "key", (F.col("qpos") - F.col("pos")).alias("off")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("q", "key").agg(F.max(F.struct("votes", (-F.abs("off")).alias("near"), "off")).alias("b")).where(F.col("b.votes") >= MIN_VOTES)
-    pairs = best.select("q", "key", F.col("b.off").alias("off"))
-    pairs = pairs.join(classes.select(F.col("key").alias("q"), F.col("fp").alias("a")), "q").join(classes.select("key", F.col("fp").alias("b"), "class_id"), "key")
+    votes = asks.join(posts.select("no", "pos", "sub"), "sub").where("q <> no")
+    votes = votes.groupBy("q", "no", (F.col("qpos") - F.col("pos")).alias("off")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("q", "no").agg(F.max(F.struct("votes", (-F.abs("off")).alias("near"), "off")).alias("b")).where(F.col("b.votes") >= MIN_VOTES)
+    pairs = best.select("q", "no", F.col("b.off").alias("off"))
+    pairs = pairs.join(classes.select(F.col("no").alias("q"), F.col("raw").alias("a")), "q").join(classes.select("no", F.col("raw").alias("b"), "class_id"), "no")
 
     def run(batches):
         for batch in batches:
             q, cls, off, ber = [], [], [], []
             for k, a, b, c, o in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                bits, bad = align(np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32), o)
+                a, b = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
+                bits, bad = align(a, b, o)
                 if bits * 2 >= 32 * min(len(a), len(b)) and bad <= MAX_BER * bits:
                     q.append(k)
                     cls.append(c)
                     off.append(o)
                     ber.append(round(bad / bits, 6))
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(cls, pa.int64()), pa.array(off, pa.int64()), pa.array(ber, pa.float64())], names=["q", "cls", "off", "ber"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(cls, pa.int64()), pa.array(off, pa.int64()), pa.array(ber, pa.float64())], names=["q", "cls", "off", "ber"])
 
-    found = pairs.select("q", "a", "b", "class_id", "off").mapInArrow(run, "q string, cls long, off long, ber double")
+    found = pairs.select("q", "a", "b", "class_id", "off").mapInArrow(run, "q long, cls long, off long, ber double")
     per = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ber", "cls", "off")).alias("m"))
-    ids = classes.select("key", "class_id")
-    named = keyed.join(ids, "key", "left").join(per, keyed["key"] == per["q"], "left")
+    ids = classes.select("key", "class_id", "no")
+    named = keyed.join(ids, "key", "left").join(per, F.col("no") == per["q"], "left")
     asked = F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))
     crc = F.crc32(F.concat_ws(",", "fp").cast("binary"))
     return named.select(

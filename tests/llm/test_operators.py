@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,23 @@ def test_packing_round_trip(spark, docs, texts):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_word_encoder():
+    """Nulls, empty and long texts, special strings, contractions, other scripts and spaces."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD)
+    texts = [None, "", " ", "don't I'LL 'southern x's y'tt O'Reilly's''ss", "<|endoftext|> a<|startoftext|>b <|EndOfText|>", "\u00c9 E\u0301 \xdf\u1e9e\xd8 \u0130stanbul \u03a3\u0391\u03a3", ODD,
+             "a\x1cb\x0bc\x0cd\xa0e\u3000f\u200b \x00 a\x00 \x85q", "123 a1b2-3_4 \xd7\xf7 \xb5\xaa \u00b2\u2167", "x" * 9000 + "!?" * 900, *fuzz(40, 3)]
+    want = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes() for x in texts]
+    enc = packing.WordEncoder(WORD)
+    assert enc.plain and enc.batch(pa.array(texts, pa.string()), 1) == want
+    assert enc.batch(pa.array([], pa.string()), 1) == []
+    assert enc.batch(pa.array([*texts, "z"], pa.string()).slice(2, 6), 1) == want[2:8]
+    enc.plain = False
+    enc.words.clear()
+    assert enc.batch(pa.array(texts, pa.string()), 1) == want
+
+
 def test_mixture_proportions():
     totals = [9000, 3000, 1500, 700]
     s = packing.Schedule(totals, totals, 512)
