@@ -148,8 +148,8 @@ def match(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     asks = posts.where("asked").select(F.col("no").alias("q"), F.col("pos").alias("qpos"), "sub")
     # Votes of equal integers by offset; summed for each pair before the pair's bits are compared.
     votes = asks.join(posts.select("no", "pos", "sub"), "sub").where("q <> no")
-    votes = votes.groupBy("q", "no", (F.col("qpos") - F.col("pos")).alias("off")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("q", "no").agg(F.max(F.struct("votes", (-F.abs("off")).alias("near"), "off")).alias("b")).where(F.col("b.votes") >= MIN_VOTES)
+    votes = votes.groupBy("q", "no", (F.col("qpos") - F.col("pos")).alias("off")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    best = votes.groupBy("q", "no").agg(F.max(F.struct("votes", (-F.abs("off")).alias("near"), "off")).alias("b"))
     pairs = best.select("q", "no", F.col("b.off").alias("off"))
     pairs = pairs.join(classes.select(F.col("no").alias("q"), F.col("raw").alias("a")), "q").join(classes.select("no", F.col("raw").alias("b"), "class_id"), "no")
 
