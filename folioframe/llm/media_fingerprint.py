@@ -12,8 +12,10 @@ The tables here have no audio: ``render`` makes a recording of each vector of
 
 Search: queries are the rows whose id is divisible by EVERY, against all rows. Recordings
 with equal fingerprints are one class and only classes are compared, so many copies of one
-recording cost one comparison. Votes come from an equality join on the integers, summed by
-pair and offset; no integer is left out, however common.
+recording cost one comparison. The asked classes meet all classes in blocks of about
+BLOCK_BYTES of fingerprints: a pair of blocks counts the votes of equal integers by pair and
+offset, MOST_VOTES at once, and returns matches alone. No integer is left out, however
+common. The work is that of a stated query set against all rows: it grows with their product.
 
 Edge cases: null and empty recordings, and ones shorter than a fingerprint needs, have an
 empty fingerprint and no match; nulls among samples count as silence; repeated rows give
@@ -39,6 +41,9 @@ CLASSES, SPAN = 12, 8
 EVERY = 50
 MAX_BER = 0.30
 MIN_VOTES = 3
+#: Bytes of fingerprints in a block, and votes (or compared integers) held at once.
+BLOCK_BYTES = 1 << 18
+MOST_VOTES = 1 << 21
 #: Filters: (kind, first class, classes, frames); kinds compare halves of the rectangle.
 FILTERS = (
     ("low_high", 0, 6, 8), ("low_high", 4, 8, 6), ("low_high", 2, 4, 4), ("low_high", 6, 6, 8),
@@ -133,6 +138,101 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return 32 * (hi - lo), int(np.bitwise_count(x).sum())
 
 
+BLOCK = T.StructType(
+    [T.StructField("block", T.IntegerType()), T.StructField("no", T.ArrayType(T.LongType())), T.StructField("cls", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("raw", T.BinaryType())]
+)
+FOUND = T.StructType([T.StructField("q", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("off", T.LongType()), T.StructField("ber", T.DoubleType())])
+
+
+def _blocks(classes: DataFrame) -> tuple[DataFrame, int]:
+    """The classes in blocks of about BLOCK_BYTES, a row each, and the number of blocks."""
+    total = classes.agg(F.sum(F.length("raw"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
+
+    def pack(key, table):
+        raw = table["raw"].to_pylist()
+        row = {"block": [key[0].as_py()], "no": [table["no"].to_pylist()], "cls": [table["class_id"].to_pylist()], "sizes": [[len(r) // 4 for r in raw]], "raw": [b"".join(raw)]}
+        return pa.table(row, schema=pa.schema([("block", pa.int32()), ("no", pa.list_(pa.int64())), ("cls", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("raw", pa.binary())]))
+
+    dealt = classes.select(F.pmod(F.xxhash64("raw"), F.lit(n)).cast("int").alias("block"), "no", "class_id", "raw")
+    return dealt.groupBy("block").applyInArrow(pack, BLOCK), n
+
+
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. in each of the runs."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _split(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Slices of runs that hold MOST_VOTES together at most; a longer run is a slice of its own."""
+    out, lo, total = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and total + n > MOST_VOTES:
+            out.append((lo, i))
+            lo, total = i, 0
+        total += n
+    return [*out, (lo, len(sizes))] if len(sizes) else out
+
+
+class Prints:
+    """The fingerprints of a block, one after the other."""
+
+    def __init__(self, table: pa.Table) -> None:
+        row = table.to_pylist()[0]
+        self.no, self.cls, self.sizes = (np.array(row[k], dtype=np.int64) for k in ("no", "cls", "sizes"))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ints = np.frombuffer(row["raw"], dtype="<u4")
+        self.owner, self.pos = np.repeat(np.arange(len(self.sizes)), self.sizes), _runs(self.sizes)
+
+
+def _votes(asks: Prints, all_: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best offset of each pair of different classes with MIN_VOTES votes at it: (ask, class, offset).
+
+    Of offsets with as many votes the smallest counts, of two such the positive one.
+    """
+    order = np.argsort(all_.ints, kind="stable")
+    ints = all_.ints[order]
+    first = np.searchsorted(ints, asks.ints, "left")
+    n = np.searchsorted(ints, asks.ints, "right") - first
+    back, width = int(all_.sizes.max()), int(all_.sizes.max() + asks.sizes.max())
+    out = []
+    for lo, hi in _split(np.add.reduceat(n, asks.starts)):
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        begin, end = asks.starts[lo], asks.starts[hi - 1] + asks.sizes[hi - 1]
+        for a, b in _split(n[begin:end]):  # more than one only where one recording has more votes
+            part = slice(begin + a, begin + b)
+            hit = order[np.repeat(first[part], n[part]) + _runs(n[part])]
+            who, at = np.repeat(asks.owner[part], n[part]), np.repeat(asks.pos[part], n[part])
+            key, count = np.unique((who * len(all_.no) + all_.owner[hit]) * width + at - all_.pos[hit] + back, return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, count]), minlength=len(keys)).astype(np.int64)
+        keys, counts = keys[counts >= MIN_VOTES], counts[counts >= MIN_VOTES]
+        pair, off = keys // width, keys % width - back
+        best = np.lexsort((off, -np.abs(off), counts, pair))
+        best = best[np.flatnonzero(np.diff(pair[best], append=-1))]
+        out.append((pair[best], off[best]))
+    pair, off = (np.concatenate(x) for x in zip(*out))
+    q, c = pair // len(all_.no), pair % len(all_.no)
+    other = asks.no[q] != all_.no[c]
+    return q[other], c[other], off[other]
+
+
+def matches(asks: Prints, all_: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of two blocks: the asking class, the class found, its offset and bit error rate."""
+    q, c, off = _votes(asks, all_)
+    lo, hi = np.maximum(0, off), np.minimum(asks.sizes[q], all_.sizes[c] + off)
+    n, bad = hi - lo, np.zeros(len(q), dtype=np.int64)  # at least MIN_VOTES integers each
+    for a, b in _split(n):
+        part, step = slice(a, b), _runs(n[a:b])
+        left = np.repeat((asks.starts[q] + lo)[part], n[part]) + step
+        right = np.repeat((all_.starts[c] + lo - off)[part], n[part]) + step
+        bad[part] = np.add.reduceat(np.bitwise_count(asks.ints[left] ^ all_.ints[right]).astype(np.int64), np.cumsum(n[part]) - n[part])
+    bits = 32 * n
+    good = (bits * 2 >= 32 * np.minimum(asks.sizes[q], all_.sizes[c])) & (bad <= MAX_BER * bits)
+    return asks.no[q[good]], all_.cls[c[good]], off[good], np.round(bad[good] / bits[good], 6)
+
+
 def match(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY) -> DataFrame:
     """vec_id, n_frames, fp_crc32, class_id, is_query, n_matches, best_class, best_offset, best_ber.
 
@@ -141,32 +241,20 @@ def match(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     """
     fps = common.staged(fingerprints(rows, id_col, vector_col), "audio")
     keyed = fps.withColumn("key", F.sha2("raw", 256))
-    classes = keyed.where(F.size("fp") > 0).groupBy("key").agg(F.min("id").alias("class_id"), F.first("raw").alias("raw"), F.first("fp").alias("fp"), F.max(F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))).alias("asked"))
-    # Short numbers stand for the long keys in the votes; being written, they don't change.
+    classes = keyed.where(F.size("fp") > 0).groupBy("key").agg(F.min("id").alias("class_id"), F.first("raw").alias("raw"), F.max(F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))).alias("asked"))
+    # Short numbers stand for the long keys; being written, they don't change.
     classes = common.staged(classes.withColumn("no", F.monotonically_increasing_id()), "audio-classes")
-    posts = classes.select("no", "asked", F.posexplode("fp").alias("pos", "sub"))
-    asks = posts.where("asked").select(F.col("no").alias("q"), F.col("pos").alias("qpos"), "sub")
-    # Votes of equal integers by offset; summed for each pair before the pair's bits are compared.
-    votes = asks.join(posts.select("no", "pos", "sub"), "sub").where("q <> no")
-    votes = votes.groupBy("q", "no", (F.col("qpos") - F.col("pos")).alias("off")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    best = votes.groupBy("q", "no").agg(F.max(F.struct("votes", (-F.abs("off")).alias("near"), "off")).alias("b"))
-    pairs = best.select("q", "no", F.col("b.off").alias("off"))
-    pairs = pairs.join(classes.select(F.col("no").alias("q"), F.col("raw").alias("a")), "q").join(classes.select("no", F.col("raw").alias("b"), "class_id"), "no")
+    asks, n_asks = _blocks(classes.where("asked"))
+    all_, n_all = _blocks(classes)
+    asks = asks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_all - 1))))
+    all_ = all_.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
 
-    def run(batches):
-        for batch in batches:
-            q, cls, off, ber = [], [], [], []
-            for k, a, b, c, o in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                a, b = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
-                bits, bad = align(a, b, o)
-                if bits * 2 >= 32 * min(len(a), len(b)) and bad <= MAX_BER * bits:
-                    q.append(k)
-                    cls.append(c)
-                    off.append(o)
-                    ber.append(round(bad / bits, 6))
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(cls, pa.int64()), pa.array(off, pa.int64()), pa.array(ber, pa.float64())], names=["q", "cls", "off", "ber"])
-
-    found = pairs.select("q", "a", "b", "class_id", "off").mapInArrow(run, "q long, cls long, off long, ber double")
+    def run(key, left, right):
+        if left.num_rows and right.num_rows:  # a block may have no class
+            return pa.table(list(matches(Prints(left), Prints(right))), names=FOUND.names)
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=FOUND.names)
+
+    found = asks.groupBy("block", "other").cogroup(all_.groupBy("other", "block")).applyInArrow(run, FOUND)
     per = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ber", "cls", "off")).alias("m"))
     ids = classes.select("key", "class_id", "no")
     named = keyed.join(ids, "key", "left").join(per, F.col("no") == per["q"], "left")

@@ -265,6 +265,49 @@ def test_media(spark):
     assert min((bad / bits, o) for o, (bits, bad) in errors.items() if bits > 32 * len(a) / 2)[1] == -16
 
 
+def brute_matches(fps, every):
+    """The best match of each asked class: number of matches, class, offset, share of differing bits."""
+    classes = {}
+    for i, fp in fps:
+        if len(fp):
+            classes.setdefault(fp.tobytes(), []).append(i)
+    prints = {min(ids): np.frombuffer(raw, dtype=np.uint32) for raw, ids in classes.items()}
+    out = {}
+    for ids in classes.values():
+        if any(i % every == 0 for i in ids):
+            found, a = [], prints[min(ids)]
+            for c, b in prints.items():
+                votes = collections.Counter(p - q for p, x in enumerate(a) for q, y in enumerate(b) if x == y) if c != min(ids) else {}
+                off = max(votes, key=lambda o: (votes[o], -abs(o), o), default=None)
+                if off is not None and votes[off] >= media_fingerprint.MIN_VOTES:
+                    bits, bad = media_fingerprint.align(a, b, off)
+                    if bits * 2 >= 32 * min(len(a), len(b)) and bad <= media_fingerprint.MAX_BER * bits:
+                        found.append((round(bad / bits, 6), c, off))
+            out[min(ids)] = (len(found), *(min(found) if found else (None, None, None)))
+    return out
+
+
+def test_media_blocks(spark, monkeypatch):
+    """Copies, near copies, silence of many lengths and moved parts, over many blocks and small slices of votes."""
+    rng = random.Random(6)
+    base = [[rng.gauss(0, 1) for _ in range(40)] for _ in range(8)]
+    vectors = [*base, *base[:3], *([x + rng.gauss(0, 0.05) for x in base[k % 4]] for k in range(30)), *([0.0] * n for n in range(12, 24)), *([*base[7][:6], *b[:30]] for b in base)]
+    rows = [(i * 5, v) for i, v in enumerate(vectors)]
+    want = brute_matches([(i, media_fingerprint.fingerprint(media_fingerprint.render(v))) for i, v in rows], 50)
+    assert any(n > 3 for n, *_ in want.values())
+    for block in (1 << 18, 900):
+        monkeypatch.setattr(media_fingerprint, "BLOCK_BYTES", block)
+        found = media_fingerprint.match(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("is_query").collect()
+        assert {r["class_id"]: (r["n_matches"], r["best_ber"], r["best_class"], r["best_offset"]) for r in found} == want
+    fps = [fp for fp in (media_fingerprint.fingerprint(media_fingerprint.render(v)) for v in vectors) if len(fp)]
+    no = list(range(len(fps)))
+    prints = media_fingerprint.Prints(pa.table({"no": [no], "cls": [no], "sizes": [[len(f) for f in fps]], "raw": [b"".join(f.astype("<u4").tobytes() for f in fps)]}))
+    whole = [x.tolist() for x in media_fingerprint.matches(prints, prints)]
+    for votes in (7, 400):  # here, as workers don't see what is changed in this process
+        monkeypatch.setattr(media_fingerprint, "MOST_VOTES", votes)
+        assert [x.tolist() for x in media_fingerprint.matches(prints, prints)] == whole
+
+
 def test_ledger_ablation(spark, docs):
     led = quality_rules.ledger(docs).cache()
     bits = [r["failed_bits"] for r in led.collect()]
