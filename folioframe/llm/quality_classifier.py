@@ -3,9 +3,9 @@
 Statistics of a document's whole text are standardised and mapped by random Fourier
 features, ``sqrt(2 / D) * cos(W x + b)``, whose inner products approximate a Gaussian
 kernel. Ridge weights solve the normal equations; each partition sums its own part of
-``Z'Z`` and ``Z'y`` and the parts are added in a tree, so the fit uses every labelled row
-outside the held-out third and the driver holds one D x D matrix. Scores of other labelled
-rows, summed in bins, are calibrated by isotonic regression.
+``Z'Z`` and ``Z'y`` and the parts are added in levels, so the fit uses every labelled row
+outside the held-out third and the driver adds the last level's few D x D matrices. Scores
+of other labelled rows, summed in bins, are calibrated by isotonic regression.
 
 Rows are dealt by ``crc32(id as text) mod 3``: 0 fits the weights, 2 the calibration, and 1
 is held out: its labels are never read. Scores depend on texts alone.
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,8 @@ RIDGE = 1e-2
 BINS = 400
 SEED = 7
 LOW, HIGH = -0.5, 1.5
+#: Partial sums left by each level of adding; the driver adds the last level's.
+LEVELS = (256, 16)
 STATS = (
     "log_bytes", "log_words", "mean_word", "upper", "digit", "symbol", "bang", "pipe", "punct", "space",
     "newline", "high_bytes", "distinct", "top_word", "line_distinct", "words_per_line", "entropy", "caps_words",
@@ -107,23 +110,34 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y, summed in each partition, then in a tree of partial sums."""
+    """Z'Z and Z'y, summed in each partition, then in levels of partial sums.
+
+    Levels are grouped frames, not a reduce behind the mapper: a task needs one Python
+    worker, and an executor keeps no more of them than it has slots.
+    """
     d = N_FEATURES + 1
 
     def run(batches):
         a, b = np.zeros((d, d)), np.zeros(d)
         for batch in batches:
-            z, y = model.z(np.array(batch.column(0).to_pylist())), np.array(batch.column(1).to_pylist(), dtype=float)
-            a += z.T @ z
-            b += z.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["a", "b"])
-
-    def add(p, q):
-        return tuple((np.frombuffer(u) + np.frombuffer(v)).tobytes() for u, v in zip(p, q))
-
-    sums = rows.select("x", "y").mapInArrow(run, "a binary, b binary").rdd.map(tuple)
-    a, b = sums.treeReduce(add, depth=3)
-    return np.frombuffer(a).reshape(d, d), np.frombuffer(b)
+            if batch.num_rows:
+                z, y = model.z(np.array(batch.column(0).to_pylist())), np.array(batch.column(1).to_pylist(), dtype=float)
+                a += z.T @ z
+                b += z.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["part", "a", "b"])
+
+    def added(parts) -> np.ndarray:
+        return sum(np.frombuffer(p) for p in parts)
+
+    def add(key, table):
+        a, b = (added(x.as_py() for x in table[c]).tobytes() for c in ("a", "b"))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary())})
+
+    sums = rows.select("x", "y").mapInArrow(run, "part long, a binary, b binary")
+    for n in LEVELS:
+        sums = sums.withColumn("part", F.col("part") % n).groupBy("part").applyInArrow(add, "part long, a binary, b binary")
+    last = sums.collect()  # LEVELS[-1] rows at most
+    return added(bytes(r["a"]) for r in last).reshape(d, d), added(bytes(r["b"]) for r in last)
 
 
 def _isotonic(totals: list[tuple[int, float, float]]) -> tuple[np.ndarray, np.ndarray]:
