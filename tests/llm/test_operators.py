@@ -253,6 +253,35 @@ def test_license_scan(spark, docs):
     assert set(spark.range(1).select(license_scan.grams(license_scan.words(F.lit(line)))).first()[0]) == license_scan.grams_py(license_scan.words_py(line))
 
 
+def brute_licenses(text):
+    """(line number, family) of a text's licence lines, every line scored."""
+    weights, bias, least = license_scan.train()
+    out = []
+    for no, line in enumerate((text or "").split("\n")):
+        gs = license_scan.grams_py(license_scan.words_py(line))
+        z = np.array(bias) + sum((np.array(weights[g]) for g in gs if g in weights), np.zeros(len(bias)))
+        p = np.exp(z - z.max())
+        p = p[:-1] / p.sum()
+        family = license_scan.FAMILIES[int(p.argmax())]
+        templates = [license_scan.grams_py(license_scan.words_py(t.replace("{v}", ""))) for t in license_scan.TEMPLATES[family]]
+        if p.max() >= least and max(len(gs & t) / len(t) for t in templates) >= license_scan.TEMPLATE_SHARE:
+            out.append((no, family))
+    return out
+
+
+def test_license_whole_table(spark, docs, texts):
+    """All planted lines, and every line of the table scored."""
+    planted = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "proprietary"}
+    got = collections.defaultdict(list)
+    for r in license_scan.classify(docs).collect():
+        got[r["doc_id"]].append((r["line"], r["family"]))
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, t in texts if (x := brute_licenses(t))}
+    for i, t in texts:
+        assert {(no, planted[x]) for no, x in enumerate((t or "").split("\n")) if x in planted} <= set(got[i])
+    lines = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")
+    assert {r["doc_id"]: r["families"] for r in license_scan.scan(lines).collect()} == dict(enumerate(planted.values()))
+
+
 def test_media(spark):
     rng = random.Random(1)
     v = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(6)]
