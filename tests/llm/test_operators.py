@@ -282,6 +282,22 @@ def test_license_whole_table(spark, docs, texts):
     assert {r["doc_id"]: r["families"] for r in license_scan.scan(lines).collect()} == dict(enumerate(planted.values()))
 
 
+def test_license_triggers_lose_nothing(spark):
+    """Wrapped notices, and the parts of templates that reach the share without a word of the old list."""
+    wrapped = {"This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not": "mpl", "free of charge, to any person obtaining a copy of this software\nand associated documentation files": "mit"}
+    cut = []
+    for t in (t.replace("{v}", "2.0") for ts in license_scan.TEMPLATES.values() for t in ts):
+        ws = t.split(" ")
+        cut += [" ".join(ws[i:j]) for i in range(len(ws)) for j in range(i + 1, len(ws) + 1)]
+        cut += [" ".join(w for w in ws if w not in (x, y)) for x in ws for y in ws]
+    rows = list(enumerate([*wrapped, *dict.fromkeys(cut)]))
+    got = collections.defaultdict(list)
+    for r in license_scan.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["line"], r["family"]))
+    assert [got[i] for i, _ in rows[:2]] == [[(0, f)] for f in wrapped.values()]
+    assert {i: sorted(x) for i, x in got.items() if x} == {i: x for i, t in rows if (x := brute_licenses(t))}
+
+
 def test_media(spark):
     rng = random.Random(1)
     v = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(6)]
