@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioframe.functions.scalars import basename, extension
+from folioframe.functions.scalars import basename, dirname, extension
 from folioframe.storage import staged
 
 NOTE_EXTENSIONS = ("md", "yaml", "yml", "prisma")
@@ -42,10 +42,20 @@ def file_index(files: DataFrame) -> DataFrame:
     return files.select(F.col("file").alias("path"), F.lower("file").alias("low"), F.regexp_replace(base, r"(?<=.)\.[^.]*$", "").alias("base"), F.size(F.split("file", "/")).alias("depth"))
 
 
+def source_relative(target, source):
+    """The vault path of a ``./`` or ``../`` target of a source file; NULL if empty or outside the vault."""
+    parts = F.split(F.concat_ws("/", dirname(source), target), "/")
+    up = lambda a: F.when(F.size(a) > 0, F.slice(a, 1, F.size(a) - 1))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x.isin("", "."), a).when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
+    return F.when(~target.endswith("/") & (F.size(kept) > 0), F.array_join(kept, "/"))
+
+
 def resolve(links: DataFrame, files: DataFrame, key: str = "link_id") -> DataFrame:
     """link key, status (resolved, ambiguous, unresolved) and path of every link.
 
-    A target with a slash or a known extension is looked up as a path (as it is, or with
+    A target that starts with ``./`` or ``../`` is looked up from the source file's folder
+    alone; an anchor without a file is the source file's own, whatever ``files`` holds.
+    Any other target with a slash or a known extension is looked up as a path (as it is, or with
     one of the extensions in order), then as a unique path suffix; a bare name by its
     base name, where the strictly shallowest path wins. All links go through the same
     equality joins; only those the phase before left open count in the next.
@@ -55,13 +65,16 @@ def resolve(links: DataFrame, files: DataFrame, key: str = "link_id") -> DataFra
     low = F.lower("target_file")
     ext = extension(F.col("target_file"))
     known = ext.isin(*NOTE_EXTENSIONS)
-    todo = links.withColumns({"low": low, "pathlike": F.col("target_file").contains("/") | known, "known": known})
+    relative = F.col("target_file").rlike(r"^\.\.?/")
+    low = F.when(relative, F.lower(source_relative(F.col("target_file"), F.col("source_file")))).otherwise(low)
+    todo = links.withColumns({"low": low, "pathlike": F.col("target_file").contains("/") | known, "known": known, "relative": relative})
     tries = F.array(*[F.struct(F.lit(i).alias("nth"), F.concat("low", F.lit(e)).alias("want")) for i, e in enumerate(["", *(f".{e}" for e in NOTE_EXTENSIONS)])])
-    wanted = todo.where("pathlike and target_file <> ''").select(key, F.explode(tries).alias("t")).select(key, "t.*")
+    wanted = todo.where("pathlike and target_file <> ''").select(key, "relative", "low", F.explode(tries).alias("t")).select(key, "relative", "low", "t.*")
+    wanted = wanted.where(~F.col("relative") | (F.col("nth") == 0) | (extension(F.col("low")) == ""))
     wanted = wanted.where(F.substring_index("want", ".", -1).isin(*NOTE_EXTENSIONS))
     root = wanted.join(exact, wanted["want"] == exact["low"]).groupBy(key).agg(F.min(F.struct("nth", "path")).alias("b")).select(key, F.col("b.path").alias("root_path"))
     stem = F.when(F.col("known"), F.regexp_replace(F.substring_index("low", "/", -1), r"\.[^.]*$", "")).otherwise(F.substring_index("low", "/", -1))
-    names = todo.where("target_file <> ''").select(key, "low", "pathlike", "known", stem.alias("base"))
+    names = todo.where("target_file <> '' and not relative").select(key, "low", "pathlike", "known", stem.alias("base"))
     by_name = names.join(index.select("path", "base", "depth", F.col("low").alias("plow")), "base")
     suffix = F.concat(F.lit("/"), F.col("low"))
     whole = F.concat(F.lit("/"), F.col("plow"))
@@ -71,8 +84,9 @@ def resolve(links: DataFrame, files: DataFrame, key: str = "link_id") -> DataFra
     near = ranked.where((F.col("depth") == F.col("least")) | F.col("pathlike")).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("name_path"))
     out = todo.join(root, key, "left").join(near, key, "left")
     unique = F.col("n") == 1
-    path = F.coalesce("root_path", F.when(unique, F.col("name_path")))
-    status = F.when(F.col("target_file") == "", "unresolved").when(path.isNotNull(), "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
+    own = (F.col("target_file") == "") & (F.coalesce(F.col("target_heading").rlike(r"[^\s>]"), F.lit(False)) | F.col("target_block").isNotNull())
+    path = F.coalesce("root_path", F.when(unique, F.col("name_path")), F.when(own, F.col("source_file")))
+    status = F.when(path.isNotNull(), "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
     return out.select(*links.columns, status.alias("status"), F.when(status == "resolved", path).alias("path"))
 
 

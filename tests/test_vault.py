@@ -59,6 +59,44 @@ def test_links(vault):
     assert status["missing"] == "unresolved" and "not a link" not in status and status["notes/oauth#Flow"] == "resolved"
 
 
+def test_relative_and_own_links(spark):
+    """Targets from the source file's folder, and anchors of the source file itself."""
+    from folioframe.operators import links
+
+    files = ["a.md", "x.md", "notes/x.md", "notes/a.md", "notes/Deep/y.yaml", "notes/d.png.md", "other/x.md", "z/q/x.md"]
+    want = {
+        ("notes/a.md", "./x"): "notes/x.md",
+        ("notes/a.md", "./X.md#Top"): "notes/x.md",
+        ("notes/a.md", "../x"): "x.md",
+        ("notes/a.md", "./deep/../x"): "notes/x.md",
+        ("notes/a.md", "./deep/y"): "notes/Deep/y.yaml",
+        ("notes/Deep/y.yaml", "../../other/x#^b"): "other/x.md",
+        ("notes/Deep/y.yaml", "../a"): "notes/a.md",
+        ("a.md", "./x"): "x.md",
+        ("a.md", "../x"): None,
+        ("notes/a.md", "../../notes/x"): None,
+        ("notes/a.md", "./q/x"): None,
+        ("notes/a.md", "./d.png"): None,
+        ("notes/a.md", "./x/"): None,
+        ("notes/a.md", "./x.md/.."): None,
+        ("notes/a.md", "./"): None,
+        ("notes/a.md", "#Top"): "notes/a.md",
+        ("notes/a.md", "#^b"): "notes/a.md",
+        ("notes/a.md", "#"): None,
+        ("notes/a.md", "# > "): None,
+        ("notes/a.md", ""): None,
+        ("a.md", "notes/x"): "notes/x.md",
+        ("a.md", "q/x"): "z/q/x.md",
+    }
+    rows = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(want)], "link_id long, source_file string, raw_target string")
+    found = links.resolve(links.parse_target(rows), spark.createDataFrame([(f,) for f in files], "file string")).cache()
+    assert {(r["source_file"], r["raw_target"]): r["path"] for r in found.collect()} == want
+    assert found.where("(status = 'resolved') <> (path is not null)").count() == 0
+    assert {r["source_file"] for r in links.backlinks(found, "notes/a.md").collect()} == {"notes/Deep/y.yaml"}
+    heads = spark.createDataFrame([("notes/a.md", "Top", "h:1", 0)], "file string, heading_text string, stable_id string, pos int")
+    assert {r["raw_target"] for r in links.resolve_headings(found, heads).where("target_stable_id = 'h:1'").collect()} == {"#Top"}
+
+
 def test_search(vault):
     page, _ = vault.search("token")
     assert page.first()["file"] == "notes/auth.md" and "**" in page.first()["snippet"]
