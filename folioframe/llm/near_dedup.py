@@ -365,7 +365,7 @@ def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
-    """doc_id, cls, n_shingles, component_id and kept of every document.
+    """doc_id, cls, comp (the component's key), n_shingles, component_id and kept of every document.
 
     ``threshold`` is the least Jaccard similarity of a link in percent.
     """
@@ -392,9 +392,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = components(links.unionByName(more))
     named = sk.select("doc_id", "cls", "n").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.where("n > 0").join(least, "comp").select("doc_id", "cls", "n", "component_id")
-    out = out.unionByName(named.where("n = 0").select("doc_id", "cls", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", "cls", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = named.where("n > 0").join(least, "comp").select("doc_id", "cls", "comp", "n", "component_id")
+    out = out.unionByName(named.where("n = 0").select("doc_id", "cls", "comp", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "cls", "comp", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
@@ -404,8 +404,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Documents without words are linked with nothing and all stay.
     """
     found = near_duplicates(docs, id_col, text_col, threshold)
-    kept = common.staged(found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).agg(F.count(F.lit(1)).alias("_rows")), "dedup-kept")
+    kept = found.where("kept and n_shingles > 0").groupBy("comp", "doc_id", "cls").agg(F.count(F.lit(1)).alias("rows"))
     # The component's smallest id may stand on rows of two classes of it; the smaller class key stays.
+    kept = kept.groupBy("comp").agg(F.min(F.struct("cls", "doc_id", "rows")).alias("k"))
+    kept = common.staged(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.cls").alias("_cls"), F.col("k.rows").alias("_rows")), "dedup-kept")
     schema = docs.schema
 
     def make():

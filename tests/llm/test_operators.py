@@ -363,6 +363,21 @@ def test_ledger_ablation(spark, docs):
     assert {r["doc_id"] for r in quality_rules.apply_policy(docs, "v1").collect()} == kept
 
 
+def test_one_row_a_component(spark):
+    """Near copies that share an id, or have none, leave one row; other components with the same id stay."""
+    rng = random.Random(3)
+
+    def group(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        return [" ".join([*base[:k], "edited", *base[k + 1 :]]) for k in range(10, 10 + 40 * n, 40)]
+
+    same, null, mixed, other = group(3), group(3), group(2), group(1)
+    rows = [*((1, t) for t in same), (1, same[0]), *((None, t) for t in null), (None, mixed[0]), (7, mixed[1]), (1, other[0])]
+    left = [tuple(r) for r in near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    least = lambda ts: min(ts, key=lambda t: near_dedup.class_key(near_dedup.words_of(t)))
+    assert sorted(left, key=str) == sorted([(1, least(same)), (None, least(null)), (7, mixed[1]), (1, other[0])], key=str)
+
+
 def test_odd_rows(spark, odd):
     assert token_counts.token_counts(odd, PIECE).count() == 7
     assert wfst.encode_decode(odd, PIECE).where("not round_trip").count() == 0
