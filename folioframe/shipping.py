@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
+#: Rows and bytes of an Arrow batch, where the session keeps Spark's defaults (10 000 and 64 MB):
+#: a batch is held by the executor and again by its Python worker, so both stay small with long texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,4 +31,7 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(f, f.relative_to(root.parent))
         spark.sparkContext.addPyFile(path)
         _DONE.add(app)
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     return spark
