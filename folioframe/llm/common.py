@@ -10,13 +10,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from folioframe.shipping import ship
-from folioframe.storage import shared_dir, staged
+from folioframe.storage import discard, shared_dir, staged
 
-__all__ = ["map_rows", "shared_dir", "staged", "sub_batches", "sub_ranges"]
+__all__ = ["Words", "discard", "held", "map_rows", "shared_dir", "staged", "sub_batches", "sub_ranges"]
 
 #: Texts handled at once inside a mapper; bounds a worker's memory with long documents.
 BATCH_CHARS = 4_000_000
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks of one kind: tables, models, word memories.
+
+    Workers are reused; what another kind of task has left is dropped first.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+class Words(dict):
+    """A memory of words that starts afresh beyond ``limit`` bytes of words and entries."""
+
+    #: Bytes of a dict entry and a string's or a value's head, about.
+    ENTRY = 160
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.used = limit, 0
+
+    def cost(self, words) -> int:
+        return self.ENTRY * len(words) + sum(map(len, words))
+
+    def full(self, words) -> bool:
+        """Whether the memory must start afresh to take these words too."""
+        return self.used + self.cost(words) > self.limit
+
+    def missing(self, words) -> list:
+        """Those of ``words`` (all different) to learn; all of them if the memory starts afresh."""
+        new = [w for w in words if w not in self]
+        if self.full(new):
+            self.clear()
+            new = list(words)
+        self.used += self.cost(new)
+        return new
+
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
 
 def sub_ranges(batch: pa.RecordBatch, text_col: int, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Slices ``[lo, hi)`` of a record batch whose texts hold about ``limit`` bytes at most."""

@@ -9,25 +9,29 @@ whole sequence is its one shingle, without words the set is empty and linked wit
    ``clamp(floor(1 - log_b(min_d x_i(d))))`` of exponential values of the set's elements.
    Registers of a union are the maxima of the parts' registers, and two sets agree in a
    register with a probability close to their Jaccard similarity.
-3. Bands of R registers are bucket keys. Two sets of similarity 0.85 share no bucket with
-   probability (1 - 0.85^8)^40 < 4e-6.
+3. Bands of R registers are bucket keys; R is the largest for which two sets at the
+   threshold t share no bucket with a probability of (1 - t^R)^(M // R) <= MISS: 8 registers
+   (40 bands, 3e-6) at 0.85, 6 registers (53 bands, 1e-7) at 0.80.
 4. In each bucket every class is paired with one hub, the member that shares the largest
    buckets. A joint maximum-likelihood estimate from the registers and the set sizes drops
-   pairs far below the threshold (SIGMAS standard errors); the others are confirmed on
-   the full sets. Links give components.
+   pairs far below the threshold (SIGMAS standard errors, a share of 3e-7 of those at the
+   threshold); the others are confirmed on the full sets. Links give components.
 5. Buckets whose members are then still in several components are searched completely:
    blocks of members are compared register by register, and pairs of different components
    near the threshold are confirmed on the full sets, inside the block. No bucket is capped,
-   and large ones are split in blocks.
+   and large ones are split in blocks, bounded by members and by bytes of their sets.
 
 So hot groups cost a star each, and only members that no star explains are compared more.
 
+A class goes by a key that starts with its smallest id, so the smallest key of a component
+holds its ``component_id`` and no hot component is gathered to find it.
+
 Edge cases: null and empty texts are their own component (``component_id`` is the row's
-own id, ``n_shingles`` 0); rows that repeat an id are documents of their own, and
-``component_id`` is the smallest id of the component; rows with a null id take part, but
-never name a component unless all ids of it are null, and then they are not kept unless
-the id is null-safe equal to the component's; an empty table gives an empty table; other
-columns are ignored.
+own id, ``n_shingles`` 0); texts of any length are taken whole; rows that repeat an id are
+documents of their own, and ``component_id`` is the smallest id of the component; rows with
+a null id take part, but never name a component unless all ids of it are null, and then they
+are kept, as their id is null-safe equal to the component's; an empty table gives an empty
+table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,26 +39,35 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
 SHINGLE = 5
-BANDS, ROWS = 40, 8
-M = BANDS * ROWS
+#: Registers of a class, and the share of pairs at the threshold that may share no bucket.
+M = 320
+MISS = 5e-6
 #: SetSketch parameters: base, rate and largest register value.
 BASE, RATE, Q = 1.001, 20.0, 65534
 SIGMAS = 5.0
+#: Members of a block, and bytes of their full sets.
 BLOCK = 512
+BLOCK_BYTES = 8 << 20
 SEED = 11
 _RNG = np.random.default_rng(SEED)
 _MULT = (_RNG.integers(0, 1 << 32, M, dtype=np.uint64) | 1).astype(np.uint32)
 _POLY = (_RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_BANDMUL = (_RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-WORD_CACHE = 400_000
-_WORDS: dict[bytes, int] = {}
+_BANDMUL = (_RNG.integers(0, 1 << 63, M, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Bytes of words whose hashes a worker remembers.
+WORD_BYTES = 48 << 20
+
+
+def band_rows(threshold: int) -> int:
+    """Registers of a band: the most that lose no more than MISS of the pairs at the threshold."""
+    t = threshold / 100
+    return max((r for r in range(1, 9) if (1 - t**r) ** (M // r) <= MISS), default=1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -75,13 +88,12 @@ def shingles(words: list[bytes]) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if n < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], dtype=np.uint64)
-    new = set(words).difference(_WORDS)
-    if len(_WORDS) + len(new) > WORD_CACHE:
-        _WORDS.clear()
-        new = set(words)
-    for w in new:
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=n)
+    memory = common.held("shingles", lambda: common.Words(WORD_BYTES))
+    different = set(words)
+    if not different <= memory.keys():
+        for w in memory.missing(different):
+            memory[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=n)
     k = n - SHINGLE + 1
     out = h[:k] * _POLY[0]
     for i in range(1, SHINGLE):
@@ -111,12 +123,15 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(smallest) / np.log(BASE)) - 1000, 0, Q + 1).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    v = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64) + np.uint64(1)
-    h = np.zeros((len(regs), BANDS), dtype=np.uint64)
-    for r in range(ROWS):
-        h = _mix(h + v[:, :, r] * _BANDMUL[None, :, r])
-    return _mix(h + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each band of ``rows`` registers; registers left over are in no band."""
+    n = M // rows
+    v = regs[:, : n * rows].reshape(len(regs), n, rows).astype(np.uint64) + np.uint64(1)
+    mul = _BANDMUL[: n * rows].reshape(n, rows)
+    h = np.zeros((len(regs), n), dtype=np.uint64)
+    for r in range(rows):
+        h = _mix(h + v[:, :, r] * mul[None, :, r])
+    return _mix(h + np.arange(n, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
 
 
 def estimate(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -167,7 +182,7 @@ def class_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, rows: int = 8) -> DataFrame:
     """Id, class key, set size, band keys and registers of every document."""
 
     def make():
@@ -178,7 +193,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             bands, regs = [None] * len(texts), [None] * len(texts)
             if full:
                 r = registers([sets[i] for i in full])
-                for i, key, reg in zip(full, band_keys(r).view(np.int64), r):
+                for i, key, reg in zip(full, band_keys(r, rows).view(np.int64), r):
                     bands[i], regs[i] = key, reg.tobytes()
             return [
                 pa.array([class_key(w) for w in split], pa.binary()),
@@ -189,8 +204,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return fn
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return common.map_rows(rows, 1, SKETCH.fields[1:], make, keep=["doc_id"])
+    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return common.map_rows(rows_, 1, SKETCH.fields[1:], make, keep=["doc_id"])
+
+
+_SIGN = -(1 << 63)
+
+
+def node_key(rep: Column, cls: Column) -> Column:
+    """A class's key: binary order is that of its smallest id (null last), then of its words."""
+    place = F.unhex(F.lpad(F.hex(rep.bitwiseXOR(F.lit(_SIGN))), 16, "0"))
+    head = F.when(rep.isNull(), F.unhex(F.lit("01" + "00" * 8))).otherwise(F.concat(F.unhex(F.lit("00")), place))
+    return F.concat(head, cls)
+
+
+def node_id(node: Column) -> Column:
+    """The smallest id that a class's key starts with."""
+    place = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.substring(node, 1, 1) == F.unhex(F.lit("00")), place)
 
 
 def _likely(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -209,40 +240,39 @@ def _likely(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full sets of the classes in ``reps`` (cls, rep), one row each."""
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    rows = rows.join(reps, F.col("rep").eqNullSafe(reps["_rep"])).select("cls", "text")
+def _sets(docs: DataFrame, used: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Full sets of the classes in ``used`` (node, rep, cls), one row each, from one document each."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(used, F.col("id").eqNullSafe(F.col("rep"))).select("node", "cls", "text")
 
     def run(batches):
         for batch in batches:
-            for lo, hi, texts in common.sub_batches(batch, 1):
+            for lo, hi, texts in common.sub_batches(batch, 2):
+                part = batch.slice(lo, hi - lo)
                 split = [words_of(t) for t in texts]
-                same = [class_key(w) == c for w, c in zip(split, batch.column(0).slice(lo, hi - lo).to_pylist())]
-                keys = [class_key(w) for w, x in zip(split, same) if x]
-                sets = [shingles(w).view(np.int64) for w, x in zip(split, same) if x]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "els"])
+                same = [i for i, (w, c) in enumerate(zip(split, part.column(1).to_pylist())) if class_key(w) == c]
+                sets = [shingles(split[i]).view(np.int64) for i in same]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "els"])
 
-    return rows.mapInArrow(run, "cls binary, els array<bigint>").dropDuplicates(["cls"])
+    # Rows that repeat an id with other words are gone by now; exact repeats have equal sets.
+    return rows.mapInArrow(run, "node binary, els array<bigint>").dropDuplicates(["node"])
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose full sets reach the threshold: 100 * intersection >= threshold * union."""
-    used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    reps = used.join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("_rep"))
-    sets = common.staged(_sets(docs, reps, id_col, text_col), "dedup-sets")
-    one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("els").alias("ea")), "a")
-    both = one.join(sets.select(F.col("cls").alias("b"), F.col("els").alias("eb")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("els").alias("ea")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("els").alias("eb")), "b")
     inter = F.size(F.array_intersect("ea", "eb"))
     both = both.select("a", "b", inter.alias("i"), (F.size("ea") + F.size("eb")).alias("s"))
     return both.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * threshold).select("a", "b")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(cls, comp): the smallest class key of each class's component, for classes with links.
+    """(node, comp): the smallest key of each node's component, for nodes with links.
 
     Alternating large-star and small-star steps: edges are rewritten to point at smaller
-    keys until nothing changes; no node's neighbours are ever gathered.
+    keys until nothing changes; no node's neighbours are ever gathered, and joins on a hub's
+    key are inner joins of exchanged rows, which adaptive execution splits where they are large.
     """
     e = common.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     seen = None
@@ -253,14 +283,17 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        e = common.staged(small.where("u <> v").distinct(), name)
+        old, e = e, common.staged(small.where("u <> v").distinct(), name)
+        common.discard(old)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    stars = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("cls"), "comp")
-    roots = e.select(F.col("v").alias("cls")).distinct().select("cls", F.col("cls").alias("comp"))
-    return common.staged(stars.unionByName(roots).distinct(), name)
+    stars = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
+    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
+    out = common.staged(stars.unionByName(roots).distinct(), name)
+    common.discard(e)
+    return out
 
 
 def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +314,7 @@ def _candidates(key, table: pa.Table, threshold: int) -> tuple[np.ndarray, np.nd
     comp = table["comp"].to_pylist()
     mine, n = table["mine"].to_numpy(), table["n"].to_numpy().astype(float)
     regs = np.frombuffer(b"".join(table["regs"].to_pylist()), dtype=np.uint16).reshape(-1, M)
-    bands = _numbers(table["bands"])[0].reshape(-1, BANDS)
+    bands = _numbers(table["bands"])[0].reshape(len(comp), -1)
     names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
     label = np.array([names[c] for c in comp])
     bucket, x, y = (k.as_py() for k in key)
@@ -311,29 +344,30 @@ def _candidates(key, table: pa.Table, threshold: int) -> tuple[np.ndarray, np.nd
 def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
     """Confirmed links between different components inside buckets that hold several.
 
-    First, members with a likely partner are found; only their full sets are fetched. Then
-    pairs are confirmed inside the blocks, the likeliest first, and a pair whose members a
-    confirmed link already connects is passed over. Neither pass emits pairs: members, then
-    the links of a spanning forest.
+    First, members with a likely partner are found; only their full sets are fetched, and
+    only for the bucket that their pair is dealt to. Then pairs are confirmed inside the
+    blocks, the likeliest first, and a pair whose members a confirmed link already connects
+    is passed over. Neither pass emits pairs: members, then the links of a spanning forest.
     """
-    labelled = buckets.join(comps, "cls", "left").select("bucket", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    rows = labelled.join(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    labelled = buckets.join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("load")).where("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("load") * 8 / BLOCK_BYTES)).cast("int")
+    rows = labelled.join(mixed.select("bucket", blocks.alias("blocks")), "bucket")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "cls", "comp", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    sketch = classes.select("cls", "n", "regs", "bands")
+    rows = rows.select("bucket", "node", "comp", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    sketch = classes.select("node", "n", "regs", "bands")
 
     def likely(key, table):
         ii, jj, _, _ = _candidates(key, table, threshold)
-        return table.take(pa.array(np.unique(np.r_[ii, jj]).astype(np.int64))).select(["bucket", "x", "y", "mine", "cls", "comp"])
+        return table.take(pa.array(np.unique(np.r_[ii, jj]).astype(np.int64))).select(["bucket", "x", "y", "mine", "node", "comp"])
 
-    members = rows.join(sketch, "cls").groupBy("bucket", "x", "y").applyInArrow(likely, "bucket long, x int, y int, mine int, cls binary, comp binary")
+    members = rows.join(sketch, "node").groupBy("bucket", "x", "y").applyInArrow(likely, "bucket long, x int, y int, mine int, node binary, comp binary")
     members = common.staged(members, "dedup-members")
     if not members.take(1):
-        return members.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    reps = members.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("_rep")), "cls")
-    sets = common.staged(_sets(docs, reps, id_col, text_col), "dedup-sets")
+        return common.staged(members.select(F.col("node").alias("a"), F.col("node").alias("b")), "dedup-more")
+    used = members.select("node").distinct().join(classes.select("node", "rep", "cls"), "node")
+    sets = common.staged(_sets(docs, used, id_col, text_col), "dedup-sets")
 
     def confirmed(key, table):
         ii, jj, est, label = _candidates(key, table, threshold)
@@ -347,7 +381,7 @@ def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs:
             return k
 
         a, b = [], []
-        cls = table["cls"]
+        node = table["node"]
         for at in np.argsort(-est, kind="stable"):
             i, j = int(ii[at]), int(jj[at])
             p, q = find(label[i]), find(label[j])
@@ -356,12 +390,14 @@ def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs:
                 inter = len(np.intersect1d(one, two, assume_unique=True))
                 if inter * 100 >= (len(one) + len(two) - inter) * threshold:
                     root[p] = q
-                    a.append(cls[i].as_py())
-                    b.append(cls[j].as_py())
+                    a.append(node[i].as_py())
+                    b.append(node[j].as_py())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    full = members.join(sketch, "cls").join(sets, "cls")
-    return full.groupBy("bucket", "x", "y").applyInArrow(confirmed, "a binary, b binary")
+    full = members.join(sketch, "node").join(sets, "node")
+    out = common.staged(full.groupBy("bucket", "x", "y").applyInArrow(confirmed, "a binary, b binary"), "dedup-more")
+    common.discard(members, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
@@ -369,39 +405,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``threshold`` is the least Jaccard similarity of a link in percent.
     """
-    sk = common.staged(sketches(docs, id_col, text_col), "dedup-sketch")
-    grouped = sk.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    classes = grouped.join(sk.where("n > 0").select("cls", "doc_id", "bands", "regs"), "cls")
-    classes = classes.where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["cls"])
-    classes = common.staged(classes.select("cls", "rep", "n", "bands", "regs"), "dedup-classes")
-    buckets = classes.select("cls", F.explode("bands").alias("bucket"))
+    sk = common.staged(sketches(docs, id_col, text_col, band_rows(threshold)), "dedup-sketch")
+    # Documents of a class have the same words, so any one's sketch will do.
+    classes = sk.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "bands", "regs")])
+    classes = common.staged(classes.withColumn("node", node_key(F.col("rep"), F.col("cls"))), "dedup-classes")
+    buckets = classes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = common.staged(buckets.join(sizes, "bucket"), "dedup-buckets")
-    popular = buckets.groupBy("cls").agg(F.sum("size").alias("pop"))
-    hubs = buckets.join(popular, "cls").groupBy("bucket").agg(F.max(F.struct("pop", "cls")).alias("top")).select("bucket", F.col("top.cls").alias("hub"))
-    pairs = buckets.join(hubs, "bucket").where("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    sketch = classes.select("cls", "n", "regs")
-    pairs = pairs.join(sketch.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
-    pairs = pairs.join(sketch.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
+    popular = buckets.groupBy("node").agg(F.sum("size").alias("pop"))
+    hubs = buckets.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("pop", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
+    pairs = buckets.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    sketch = classes.select("node", "n", "regs")
+    pairs = pairs.join(sketch.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
+    pairs = pairs.join(sketch.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
     pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
     stars = common.staged(_likely(pairs, threshold), "dedup-stars")
-    links = common.staged(_confirm(stars, classes, docs, id_col, text_col, threshold), "dedup-links")
+    used = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct().join(classes.select("node", "rep", "cls"), "node")
+    sets = common.staged(_sets(docs, used, id_col, text_col), "dedup-sets")
+    links = common.staged(_confirm(stars, sets, threshold), "dedup-links")
+    common.discard(stars, sets)
     comps = components(links)
-    more = common.staged(_mixed_links(buckets.select("bucket", "cls"), comps, classes, docs, id_col, text_col, threshold), "dedup-more")
+    more = _mixed_links(buckets.select("bucket", "node", "n"), comps, classes, docs, id_col, text_col, threshold)
     if more.take(1):
-        comps = components(links.unionByName(more))
-    named = sk.select("doc_id", "cls", "n").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.where("n > 0").join(least, "comp").select("doc_id", "cls", "comp", "n", "component_id")
-    out = out.unionByName(named.where("n = 0").select("doc_id", "cls", "comp", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", "cls", "comp", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        first, comps = comps, components(links.unionByName(more))
+        common.discard(first)
+    common.discard(buckets, links, more)
+    # Classes of one document and without links are their own components: no join is needed.
+    named = classes.select("cls", "node", "copies").join(comps, "node", "left").where("copies > 1 or comp is not null")
+    named = named.select("cls", F.coalesce("comp", "node").alias("comp"))
+    own = node_key(F.col("doc_id"), F.col("cls"))
+    out = sk.select("doc_id", "cls", "n").join(named, "cls", "left").select("doc_id", "cls", F.when(F.col("n") > 0, F.coalesce("comp", own)).otherwise(own).alias("comp"), F.col("n").alias("n_shingles"))
+    component = F.when(F.col("n_shingles") > 0, node_id(F.col("comp"))).otherwise(F.col("doc_id"))
+    out = out.withColumn("component_id", component)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
     """One row of each component of ``docs``, all columns unchanged.
 
     Rows that share the kept id and its word sequence count as repeats: one of them stays.
-    Documents without words are linked with nothing and all stay.
+    Documents without words are linked with nothing and all stay. Columns of ``docs`` may
+    have any names; an empty table stays empty.
     """
     found = near_duplicates(docs, id_col, text_col, threshold)
     kept = found.where("kept and n_shingles > 0").groupBy("comp", "doc_id", "cls").agg(F.count(F.lit(1)).alias("rows"))
@@ -409,6 +453,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = kept.groupBy("comp").agg(F.min(F.struct("cls", "doc_id", "rows")).alias("k"))
     kept = common.staged(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.cls").alias("_cls"), F.col("k.rows").alias("_rows")), "dedup-kept")
     schema = docs.schema
+    name = "_class"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
 
     def make():
         def fn(texts):
@@ -417,12 +464,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
         return fn
 
-    keyed = common.map_rows(docs, docs.columns.index(text_col), [T.StructField("_folio_cls", T.BinaryType())], make)
-    empty = keyed.where(F.col("_folio_cls").isNull()).drop("_folio_cls")
-    on = keyed[id_col].cast("long").eqNullSafe(kept["_id"]) & (keyed["_folio_cls"] == kept["_cls"])
-    single = keyed.join(kept.where("_rows = 1"), on, "left_semi").drop("_folio_cls")
+    keyed = common.map_rows(docs, docs.columns.index(text_col), [T.StructField(name, T.BinaryType())], make)
+    empty = keyed.where(F.col(name).isNull()).drop(name)
+    on = keyed[id_col].cast("long").eqNullSafe(kept["_id"]) & (keyed[name] == kept["_cls"])
+    single = keyed.join(kept.where("_rows = 1"), on, "left_semi").drop(name)
     several = kept.where("_rows > 1")
     if several.take(1):
-        again = keyed.join(several, on, "left_semi").dropDuplicates([id_col, "_folio_cls"]).drop("_folio_cls")
+        again = keyed.join(several, on, "left_semi").dropDuplicates([id_col, name]).drop(name)
         single = single.unionByName(again)
     return single.unionByName(empty).select(*schema.names)

@@ -87,9 +87,9 @@ def measure(text: str) -> tuple[int, ...]:
     return len(words), chars, symbols, dups, repeated_words(words), lines, shout
 
 
-def failure_bits() -> Column:
-    """The bitmask of failed rules, from the measurements."""
-    c = F.col
+def failure_bits(prefix: str = "") -> Column:
+    """The bitmask of failed rules, from the measurements, whose columns' names begin with ``prefix``."""
+    c = lambda name: F.col(prefix + name)
     failed = {
         "short": c("n_words") < MIN_WORDS,
         "repeats": c("n_repeat_words") * 100 > c("n_words") * MAX_REPEAT_PERCENT,
@@ -106,18 +106,19 @@ def policy_mask(version: str) -> int:
     return sum(1 << RULES.index(name) for name in POLICIES[version])
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the measurements and ``failed_bits`` of every document."""
+def _measured(docs: DataFrame, text_col: str, keep: list[str], prefix: str = "") -> DataFrame:
+    """``docs`` with the measurements of each text appended."""
 
     def make():
-        def fn(texts):
-            rows = list(zip(*(measure(t) for t in texts)))
-            return [pa.array(list(r), pa.int64()) for r in rows]
+        return lambda texts: [pa.array(list(r), pa.int64()) for r in zip(*(measure(t) for t in texts))]
+
+    fields = [T.StructField(prefix + m, T.LongType()) for m in MEASURES]
+    return common.map_rows(docs, docs.columns.index(text_col), fields, make, keep=keep)
 
-        return fn
 
-    fields = [T.StructField(m, T.LongType()) for m in MEASURES]
-    return common.map_rows(docs.select(id_col, text_col), 1, fields, make, keep=[id_col]).withColumn("failed_bits", failure_bits())
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, the measurements and ``failed_bits`` of every document."""
+    return _measured(docs.select(id_col, text_col), text_col, [id_col]).withColumn("failed_bits", failure_bits())
 
 
 def kept(version: str, bits: str = "failed_bits") -> Column:
@@ -144,25 +145,10 @@ def ablations(led: DataFrame, version: str) -> DataFrame:
     return wide.select("n_docs", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.explode(F.array(*rows)).alias("r")).select("r.*", "n_docs", "n_kept")
 
 
-def _failed(m: tuple[int, ...], mask: int) -> bool:
-    """The same rules on one document's measurements, for filters that run with the mapper."""
-    words, chars, symbols, dups, repeats, lines, shout = m
-    bits = (
-        words < MIN_WORDS,
-        repeats * 100 > words * MAX_REPEAT_PERCENT,
-        symbols * 100 > chars * MAX_SYMBOL_PERCENT,
-        dups >= MIN_DUP_LINES and dups * 100 > lines * MAX_DUP_LINE_PERCENT,
-        shout * 100 > words * MAX_SHOUT_PERCENT,
-        chars > words * MAX_MEAN_WORD_CHARS,
-    )
-    return any(bit and mask >> r & 1 for r, bit in enumerate(bits))
-
-
 def apply_policy(docs: DataFrame, version: str, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, all columns unchanged."""
-    mask = policy_mask(version)
-
-    def make():
-        return lambda texts: [pa.array([not _failed(measure(t), mask) for t in texts], pa.bool_())]
-
-    return common.map_rows(docs, docs.columns.index(text_col), [], make, where=lambda new: new[0])
+    """The rows of ``docs`` whose ledger bits the policy accepts, all columns unchanged."""
+    prefix = "_rule_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    rows = _measured(docs, text_col, docs.columns, prefix).withColumn(f"{prefix}bits", failure_bits(prefix))
+    return rows.where(kept(version, f"{prefix}bits")).select(*docs.columns)

@@ -11,6 +11,10 @@ import corpus_pipeline
 from . import license_scan, media_fingerprint, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts, warc, wfst
 
 
+#: The target mixture of op4: these sources' weights, and that of all others together.
+MIXTURE, OTHERS = {"src0": 30, "src1": 6, "src2": 4}, 60
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -34,7 +38,7 @@ def op3_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), weights=MIXTURE, others=OTHERS, with_ids=False)
 
 
 def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:

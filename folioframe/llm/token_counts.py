@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from . import common
 from .spm_model import BPE, SPACE, read_model
 
-#: Most pre-tokens whose counts a task remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 400_000
+#: Bytes of pre-tokens whose counts a worker remembers; beyond it the memory starts afresh.
+WORD_BYTES = 96 << 20
 INF = np.int64(1 << 60)
 
 
@@ -177,15 +177,13 @@ class Counter:
 
     def __init__(self, tables: MergeTables) -> None:
         self.t = tables
-        self.count: dict[str, int] = {}
+        self.count = common.Words(WORD_BYTES)
         self.lone: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.count]
-        if len(self.count) + len(new) > CACHE_WORDS:
-            self.count.clear()
+        new = self.count.missing(words)
+        if not self.count:
             self.lone.clear()
-            new = list(words)
         for lo in range(0, len(new), 50_000):
             part = new[lo : lo + 50_000]
             counts, lone = self.t.merge([SPACE + w for w in part])
@@ -231,14 +229,9 @@ class Counter:
         return total
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter_of(path: str) -> Counter:
     """The process's counter for a model; a reused worker keeps its tables and memory."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(MergeTables(path))
-    return _COUNTERS[path]
+    return common.held(f"token counts {path}", lambda: Counter(MergeTables(path)))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -186,37 +186,110 @@ def test_word_encoder():
              "a\x1cb\x0bc\x0cd\xa0e\u3000f\u200b \x00 a\x00 \x85q", "123 a1b2-3_4 \xd7\xf7 \xb5\xaa \u00b2\u2167", "x" * 9000 + "!?" * 900, *fuzz(40, 3)]
     want = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes() for x in texts]
     enc = packing.WordEncoder(WORD)
-    assert enc.plain and enc.batch(pa.array(texts, pa.string()), 1) == want
-    assert enc.batch(pa.array([], pa.string()), 1) == []
-    assert enc.batch(pa.array([*texts, "z"], pa.string()).slice(2, 6), 1) == want[2:8]
-    enc.plain = False
-    enc.words.clear()
-    assert enc.batch(pa.array(texts, pa.string()), 1) == want
 
+    def batch(rows):
+        ids, sizes = enc.batch(rows, 1)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
-def test_mixture_proportions():
-    totals = [9000, 3000, 1500, 700]
-    s = packing.Schedule(totals, totals, 512)
+    assert enc.plain and batch(pa.array(texts, pa.string())) == want
+    assert batch(pa.array([], pa.string())) == []
+    assert batch(pa.array([*texts, "z"], pa.string()).slice(2, 6)) == want[2:8]
+    for memory in (enc.words, enc.parts):  # memories that start afresh with every batch
+        memory.row.limit = 0
+    assert batch(pa.array(texts, pa.string())) == want and batch(pa.array(texts[3:], pa.string())) == want[3:]
+    enc.plain = False
+    enc.words.clear()
+    assert batch(pa.array(texts, pa.string())) == want
+
+
+def streams(totals, window, named=(), others=1):
+    """The schedule and a stream for each source: named ones by weights, the rest mixed by their tokens."""
+    n, rest = len(named), sum(totals[len(named) :])
+    part = others / (sum(named) + others)
+    level = [int(np.ceil(np.log2(packing.SURE * rest / (window * part * t)))) for t in totals[n:]]
+    tokens = collections.Counter()
+    for k, t in zip(level, totals[n:]):
+        tokens[k] += t
+    grouped = packing.groups(list(tokens.items()), window, part)
+    upper = [*totals[:n], *(g[1] for g in grouped)]
+    queue, lo, turn = list(range(n)), [0] * n, [0] * n
+    used = [0] * len(grouped)
+    for k, t in zip(level, totals[n:]):
+        q = next(i for i, g in enumerate(grouped) if k in g[2])
+        queue.append(n + q)
+        turn.append(grouped[q][0])
+        lo.append(used[q])
+        used[q] += t
+    scale = [a * rest for a in named] + [others * g[1] for g in grouped] if n else upper
+    s = packing.Schedule(upper, scale, window)
+    hi = [a + t for a, t in zip(lo, totals)]
+    return s, packing.Streams(*(np.array(v, dtype=np.int64) for v in (queue, [upper[q] for q in queue], turn, lo, hi, [0] * len(totals), totals)))
+
+
+def placed(s, t):
+    """Each stream's tokens' places; asserts that no place is taken twice."""
+    seen = {}
+    for r, start, n, seq, off in zip(*(a.tolist() for a in packing.cut(s, t))):
+        for k in range(n):
+            assert (seq, off + k) not in seen
+            seen[seq, off + k] = (r, int(t.x[r]) + start + k)
+    return seen
+
+
+def test_mixture_proportions(monkeypatch):
+    """Each window's quotas are the targets to a token, and what a queue is owed is carried; also with wide products."""
+    totals = [9000, 3000, 1500, 700, 30, 1]
+    s, t = streams(totals, 512)
+    place = placed(s, t)
+    assert sorted(place.values()) == [(q, k) for q, n in enumerate(totals) for k in range(n)]
+    per = collections.Counter((seq, r) for (seq, _), (r, _) in place.items())
     for w in range(s.total // 512):
-        for q, t in enumerate(totals):
-            assert abs(s.upto(q, (w + 1) * 512) - s.upto(q, w * 512) - 512 * t / s.total) < 2
+        for q, n in enumerate(totals[:3]):
+            assert abs(per[w, q] - 512 * n / s.total) <= 3
+    small = [20_000, 9000, *([25] * 40), *([3] * 60)]  # all owed less than a token a window: by turns
+    s, t = streams(small, 512)
+    seen = collections.defaultdict(list)
+    for (seq, _), (r, _) in sorted(placed(s, t).items()):
+        seen[r].append(seq)
+    for r in range(2, 42):
+        turn = 1 << int(t.turn[r])
+        assert max(collections.Counter(w // turn for w in seen[r]).values()) <= 2 * packing.SURE + 1
+    s, t = streams([9000, 3000, 2204], 512, (1, 2), 5)
+    for w in range(s.phases[1][0] // 512):  # until the first queue ends
+        got = [s.upto(q, (w + 1) * 512) - s.upto(q, w * 512) for q in range(3)]
+        assert sum(got) == 512 and all(abs(g - 512 * a / 8) <= 1 for g, a in zip(got, (1, 2, 5)))
     rng = random.Random(2)
-    for _ in range(40):
-        totals = [rng.randint(1, 900) for _ in range(rng.randint(1, 6))]
-        s = packing.Schedule(totals, [rng.randint(0, 9) for _ in totals], 64)
-        seen = set()
-        for q, t in enumerate(totals):
-            for start, n, seq, off in packing.cut(s, q, 0, t):
-                for k in range(off, off + n):
-                    assert (seq, k) not in seen
-                    seen.add((seq, k))
-        assert len(seen) == sum(totals)
-
-
-def test_many_small_sources(spark):
-    rows = [(i, "w " * (2 + i % 5), None if i % 9 == 0 else f"s{i % 97}" if i % 3 else "big") for i in range(400)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), WORD, window=64).collect()
-    assert sum(r["length"] for r in got) == sum(len(x.split()) + 1 for _, x, _ in rows)
+    for k in range(60):
+        totals = [rng.choice((rng.randint(1, 5), rng.randint(1, 900), rng.randint(1, 9000))) for _ in range(rng.randint(2, 40))]
+        named = [rng.randint(1, 9) for _ in range(rng.choice((0, 0, 1, 3)))][: len(totals) - 1]
+        s, t = streams(totals, 64, named, rng.randint(1, 9))
+        whole = placed(s, t)
+        assert sorted(whole.values()) == [(q, i) for q, m in enumerate(totals) for i in range(m)]
+        if k < 5:  # the same places where every product is taken as wide, and by segments
+            wide = lambda x, part, whole: (x.astype(object) * part // whole).astype(np.int64) if len(x) else x
+            with monkeypatch.context() as m:
+                m.setattr(packing, "share", wide)
+                assert placed(s, t) == whole
+        for r in range(min(5, len(totals))):
+            cut = [(x, min(7, totals[r] - x)) for x in range(0, totals[r], 7)]
+            part = packing.Streams(*(np.repeat(a[r : r + 1], len(cut)) for a in (t.queue, t.whole, t.turn, t.lo, t.hi)), np.array([x for x, _ in cut]), np.array([m for _, m in cut]))
+            assert {p: x for p, (_, x) in placed(s, part).items()} == {p: x for p, (q, x) in whole.items() if q == r}
+    big = np.array([(1 << 44) + 12345, 7], dtype=np.int64)
+    assert packing.share(big, np.array([1 << 43, 3]), np.array([1 << 44, 1 << 44])).tolist() == [int(a) * p // (1 << 44) for a, p in zip(big, (1 << 43, 3))]
+
+
+def test_many_small_sources(spark, monkeypatch):
+    """3000 sources, most owed less than a token a window: each token has one place, whatever the join."""
+    rows = [(i, "w " * (2 + i % 5), None if i % 9 == 0 else f"s{i}" if i % 3 else "big") for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for kw, small in (({}, 200_000), ({"weights": {"big": 3, "s1": 2, "none": 9}, "others": 1}, 0)):
+        monkeypatch.setattr(packing, "SMALL_ROWS", small)
+        got = packing.pack(df, WORD, window=64, **kw).collect()
+        assert len({(r["sequence_id"], r["offset"] + k) for r in got for k in range(r["length"])}) == sum(len(x.split()) + 1 for _, x, _ in rows)
+        tokens = collections.Counter()
+        for r in got:
+            tokens[r["doc_id"]] += r["length"]
+        assert dict(tokens) == {i: len(x.split()) + 1 for i, x, _ in rows}
 
 
 @pytest.fixture(scope="module")
