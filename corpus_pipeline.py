@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences by source."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 STAGES = [
