@@ -35,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def staged(df: DataFrame, name: str, per_core: int = FILES_PER_CORE) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in ``per_core`` files a core at most, and read it back.
 
     The written table cuts the lineage: a lost executor costs a re-read, not a
     recomputation, and values that depend on task layout stay as they were committed.
@@ -44,7 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    df.coalesce(FILES_PER_CORE * max(1, spark.sparkContext.defaultParallelism)).write.option("compression", "zstd").parquet(path)
+    df.coalesce(per_core * max(1, spark.sparkContext.defaultParallelism)).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     return out
