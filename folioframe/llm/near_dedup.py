@@ -55,6 +55,8 @@ SIGMAS = 5.0
 #: Members of a block, and bytes of their full sets.
 BLOCK = 512
 BLOCK_BYTES = 8 << 20
+#: Files a core of staged links and keys, which are small beside the texts.
+FEW = 2
 SEED = 11
 _RNG = np.random.default_rng(SEED)
 _MULT = (_RNG.integers(0, 1 << 32, M, dtype=np.uint64) | 1).astype(np.uint32)
@@ -274,7 +276,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     keys until nothing changes; no node's neighbours are ever gathered, and joins on a hub's
     key are inner joins of exchanged rows, which adaptive execution splits where they are large.
     """
-    e = common.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    e = common.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name, FEW)
     seen = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -283,7 +285,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        old, e = e, common.staged(small.where("u <> v").distinct(), name)
+        old, e = e, common.staged(small.where("u <> v").distinct(), name, FEW)
         common.discard(old)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
@@ -291,7 +293,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         seen = state
     stars = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    out = common.staged(stars.unionByName(roots).distinct(), name)
+    out = common.staged(stars.unionByName(roots).distinct(), name, FEW)
     common.discard(e)
     return out
 
@@ -363,9 +365,9 @@ def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs:
         return table.take(pa.array(np.unique(np.r_[ii, jj]).astype(np.int64))).select(["bucket", "x", "y", "mine", "node", "comp"])
 
     members = rows.join(sketch, "node").groupBy("bucket", "x", "y").applyInArrow(likely, "bucket long, x int, y int, mine int, node binary, comp binary")
-    members = common.staged(members, "dedup-members")
+    members = common.staged(members, "dedup-members", FEW)
     if not members.take(1):
-        return common.staged(members.select(F.col("node").alias("a"), F.col("node").alias("b")), "dedup-more")
+        return common.staged(members.select(F.col("node").alias("a"), F.col("node").alias("b")), "dedup-more", FEW)
     used = members.select("node").distinct().join(classes.select("node", "rep", "cls"), "node")
     sets = common.staged(_sets(docs, used, id_col, text_col), "dedup-sets")
 
@@ -395,7 +397,7 @@ def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs:
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     full = members.join(sketch, "node").join(sets, "node")
-    out = common.staged(full.groupBy("bucket", "x", "y").applyInArrow(confirmed, "a binary, b binary"), "dedup-more")
+    out = common.staged(full.groupBy("bucket", "x", "y").applyInArrow(confirmed, "a binary, b binary"), "dedup-more", FEW)
     common.discard(members, sets)
     return out
 
@@ -419,10 +421,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(sketch.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
     pairs = pairs.join(sketch.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
     pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-    stars = common.staged(_likely(pairs, threshold), "dedup-stars")
+    stars = common.staged(_likely(pairs, threshold), "dedup-stars", FEW)
     used = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct().join(classes.select("node", "rep", "cls"), "node")
     sets = common.staged(_sets(docs, used, id_col, text_col), "dedup-sets")
-    links = common.staged(_confirm(stars, sets, threshold), "dedup-links")
+    links = common.staged(_confirm(stars, sets, threshold), "dedup-links", FEW)
     common.discard(stars, sets)
     comps = components(links)
     more = _mixed_links(buckets.select("bucket", "node", "n"), comps, classes, docs, id_col, text_col, threshold)
@@ -451,7 +453,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = found.where("kept and n_shingles > 0").groupBy("comp", "doc_id", "cls").agg(F.count(F.lit(1)).alias("rows"))
     # The component's smallest id may stand on rows of two classes of it; the smaller class key stays.
     kept = kept.groupBy("comp").agg(F.min(F.struct("cls", "doc_id", "rows")).alias("k"))
-    kept = common.staged(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.cls").alias("_cls"), F.col("k.rows").alias("_rows")), "dedup-kept")
+    kept = common.staged(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.cls").alias("_cls"), F.col("k.rows").alias("_rows")), "dedup-kept", FEW)
     schema = docs.schema
     name = "_class"
     while name in {c.lower() for c in docs.columns}:

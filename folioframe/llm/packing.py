@@ -171,14 +171,15 @@ class WordEncoder:
         if not self.plain or not words:
             return self._whole(words)
         joined = "\n".join(words)
-        other = set(NOT_PLAIN.findall(joined))
+        other, plain = set(NOT_PLAIN.findall(joined)), words
         for special in self.special:
             if special in joined:
                 other.update(w for w in words if special in w)
         if other:
             odd = np.fromiter((w in other for w in words), dtype=bool, count=len(words))
-            joined = "\n".join([w for w in words if w not in other])
-        ids, sizes = self._plain(joined) if joined else (np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64))
+            plain = [w for w in words if w not in other]
+            joined = "\n".join(plain)
+        ids, sizes = self._plain(joined) if plain else (np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64))
         if not other:
             return ids, sizes
         rest, rest_sizes = self._whole([w for w in words if w in other])
@@ -197,7 +198,7 @@ class WordEncoder:
         ids, sizes = self.parts.gather(rows)
         ends = np.cumsum(sizes)
         border = np.flatnonzero(rows == self.parts.row["\n"])
-        return ids, np.diff(np.concatenate([[0], ends[border], ends[-1:]]))
+        return ids, np.diff(np.concatenate([[0], ends[border], [len(ids)]]))
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` behind each, one after the other, and their sizes; null is empty."""
