@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe.llm.spm_model import SpmModel
 from folioframe.llm import license_scan, media_fingerprint, near_dedup, packing, pii, quality_classifier, quality_rules, queries, token_counts, warc, wfst
 
 SF = "/root/testdata/sf0.001"
@@ -52,17 +53,59 @@ def test_token_counts(spark, docs, texts):
     assert c.batch(more) == [len(x) for x in sp.encode(more)]
 
 
-def test_wfst(texts):
+def test_wfst(spark, texts):
+    """The library's ids and texts; many words at once and one by one; memories that start afresh."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
-    t = wfst.transducer(PIECE)
-    more = [x for _, x in texts[:60]] + [*fuzz(1500), " " * 100, "a" * 3000]
-    for x in more:
-        ids = sp.encode(x)
-        assert t.encode(x) == ids and t.decode(ids) == sp.decode(ids)
-    for w in ("▁standing", "▁the,", "漢a"):
-        assert t.shortest(w) == t.only_path(w)
+    t = wfst.Transducer(PIECE)
+    more = [x for _, x in texts] + [*fuzz(1500), " " * 100, "a" * 3000, "the" * 700, "-" * 200, "▁▁the ▁", " x", ""]
+    want = sp.encode(more)
+    assert [x.tolist() for x in t.batch(more)] == want
+    assert [t.decode(x) for x in want[:300]] == [sp.decode(x) for x in want[:300]]
+    t.words.limit, t.pairs = 0, wfst.Table(1 << 21)
+    assert [t.encode(x) for x in more[-400:]] == want[-400:]
+    words = [w for x in more[:3] for w in x.split() if w] + ["漢a", "standing", "a😀b", "x" * 90]
+    ids, sizes = t.relaxed(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [t.shortest(w) for w in words]
+    df = spark.createDataFrame([(x,) for x in more[:5]], "text string")
+    assert [r["piece_ids"] for r in wfst.with_ids(df.coalesce(1), PIECE).collect()] == want[:5]
+    with pytest.raises(ValueError):
+        wfst.with_ids(df.withColumn("Piece_Ids", F.lit(1)), PIECE)
+
+
+def segmentations(t, word):
+    """Every way to cut a word into symbols: (symbol, characters) each."""
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        k = t.sym.get(word[:n], t.n if n == 1 else None)
+        if k is not None:
+            for rest in segmentations(t, word[n:]):
+                yield [(k, word[:n]), *rest]
+
+
+def test_shortest_path_is_the_least_of_all():
+    """Against all segmentations: merge models by literal merging of neighbours, unigram models by their weights."""
+    t = wfst.Transducer(PIECE)
+    assert all(t._merged(p)[0] == [p] for p in list(t.sym)[::40] if t.left[t.sym[p]] >= 0)
+    for w in ("▁standing", "▁the,", "漢ab", "▁----", "▁/***/", "▁aaaaaa", "▁......", "in😀g"):
+        fits = [x for x in segmentations(t, w) if all(t._merged(a)[0] == [a] for _, a in x) and all(t._merged(a + b)[0] == [a, b] for (_, a), (_, b) in zip(x, x[1:]))]
+        assert len(fits) == 1
+        assert t.shortest(w) == [i for k, c in fits[0] for i in ([int(t.id_of[k])] if t.id_of[k] >= 0 else t.bytes[list(c.encode())].tolist())]
+    rng = random.Random(5)
+    m = SpmModel(model_type=1, remove_extra_whitespaces=False)
+    for p in ["▁", *"abc", "ab", "bc", "▁a", "abc", "cab", "▁ab", "aa", "ca", *(f"<0x{b:02X}>" for b in range(256))]:
+        m.pieces.append(p)
+        m.scores.append(-rng.random() * 5)
+        m.kinds.append(6 if p[0] == "<" else 1)
+    u = wfst.Transducer(m)
+    for w in ["▁" + "".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) for _ in range(150)] + ["▁aéb", "漢"]:
+        best = min(sum(float(u.weight[k]) for k, _ in x) for x in segmentations(u, w))
+        for ids in (u.shortest(w), u.relaxed([w])[0].tolist()):  # of paths of one weight any will do
+            got = sum(-m.scores[i] for i in ids if m.kinds[i] == 1) + sum(float(u.weight[u.n]) for c in w if c not in u.sym)
+            assert abs(got - best) < 1e-9 and u.decode(ids) == w[1:] if w[0] == "▁" else u.decode(ids) == w
+    assert u.decode(u.encode("ab cab")) == "ab cab"
 
 
 def brute_components(rows, threshold):
