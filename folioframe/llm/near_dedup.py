@@ -402,11 +402,8 @@ def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
-    """doc_id, cls, comp (the component's key), n_shingles, component_id and kept of every document.
-
-    ``threshold`` is the least Jaccard similarity of a link in percent.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sketches, their classes, and (node, comp) of the classes with links."""
     sk = common.staged(sketches(docs, id_col, text_col, band_rows(threshold)), "dedup-sketch")
     # Documents of a class have the same words, so any one's sketch will do.
     classes = sk.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "bands", "regs")])
@@ -432,6 +429,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first, comps = comps, components(links.unionByName(more))
         common.discard(first)
     common.discard(buckets, links, more)
+    return sk, classes, comps
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
+    """doc_id, cls, comp (the component's key), n_shingles, component_id and kept of every document.
+
+    ``threshold`` is the least Jaccard similarity of a link in percent.
+    """
+    sk, classes, comps = _grouped(docs, id_col, text_col, threshold)
     # Classes of one document and without links are their own components: no join is needed.
     named = classes.select("cls", "node", "copies").join(comps, "node", "left").where("copies > 1 or comp is not null")
     named = named.select("cls", F.coalesce("comp", "node").alias("comp"))
@@ -445,15 +451,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
     """One row of each component of ``docs``, all columns unchanged.
 
-    Rows that share the kept id and its word sequence count as repeats: one of them stays.
-    Documents without words are linked with nothing and all stay. Columns of ``docs`` may
+    The row with the component's smallest id stays; where that id stands on rows of several word
+    sequences of the component, those of the smaller class key, and of rows that repeat both,
+    one. Documents without words are linked with nothing and all stay. Columns of ``docs`` may
     have any names; an empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, threshold)
-    kept = found.where("kept and n_shingles > 0").groupBy("comp", "doc_id", "cls").agg(F.count(F.lit(1)).alias("rows"))
-    # The component's smallest id may stand on rows of two classes of it; the smaller class key stays.
-    kept = kept.groupBy("comp").agg(F.min(F.struct("cls", "doc_id", "rows")).alias("k"))
-    kept = common.staged(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.cls").alias("_cls"), F.col("k.rows").alias("_rows")), "dedup-kept", FEW)
+    sk, classes, comps = _grouped(docs, id_col, text_col, threshold)
+    # A component's smallest key is that of the class to keep.
+    roots = classes.select("node", "rep", "cls").join(comps, "node", "left").where("comp is null or comp = node")
+    repeats = sk.where("n > 0").groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"), F.col("rows").alias("_rows"))
+    kept = roots.join(repeats, F.col("rep").eqNullSafe(F.col("_id")) & (F.col("cls") == F.col("_cls")), "left")
+    kept = common.staged(kept.select(F.col("rep").alias("_id"), F.col("cls").alias("_cls"), F.coalesce("_rows", F.lit(1)).alias("_rows")), "dedup-kept", FEW)
+    common.discard(sk, classes, comps)
     schema = docs.schema
     name = "_class"
     while name in {c.lower() for c in docs.columns}:

@@ -145,6 +145,26 @@ def test_near_dedup(spark, docs, texts):
     assert got == brute_components(rows, 85)
 
 
+def test_near_pairs_at_the_threshold_are_found(spark):
+    """Recall of planted pairs of similarity 0.85 to 0.90 (and 0.80 to 0.85), of several lengths."""
+    rng = random.Random(9)
+    for threshold in (85, 80):
+        rows, wanted = [], 0
+        while wanted < 250:
+            n = rng.choice((60, 150, 400))
+            words = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+            other = list(words)
+            for k in rng.sample(range(0, n - 5, 6), rng.randint(1, max(1, n // 40))):
+                other[k] = f"x{rng.randrange(10**7)}"
+            a, b = (set(zip(*[w[k:] for k in range(5)])) for w in (words, other))
+            j = 100 * len(a & b) / len(a | b)
+            if threshold <= j < threshold + 5:
+                rows += [(2 * wanted, " ".join(words)), (2 * wanted + 1, " ".join(other))]
+                wanted += 1
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).where("kept").count()
+        assert got == wanted
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
