@@ -389,49 +389,68 @@ def test_license_scan(spark, docs):
     assert set(spark.range(1).select(license_scan.grams(license_scan.words(F.lit(line)))).first()[0]) == license_scan.grams_py(license_scan.words_py(line))
 
 
-def brute_licenses(text):
-    """(line number, family) of a text's licence lines, every line scored."""
-    weights, bias, least = license_scan.train()
+def brute_scores(text):
+    """(lines, line, family, probability, share) of every paragraph of up to three lines of a text."""
+    weights, bias, _ = license_scan.train()
+    lines = (text or "").split("\n")
     out = []
-    for no, line in enumerate((text or "").split("\n")):
-        gs = license_scan.grams_py(license_scan.words_py(line))
-        z = np.array(bias) + sum((np.array(weights[g]) for g in gs if g in weights), np.zeros(len(bias)))
-        p = np.exp(z - z.max())
-        p = p[:-1] / p.sum()
-        family = license_scan.FAMILIES[int(p.argmax())]
-        templates = [license_scan.grams_py(license_scan.words_py(t.replace("{v}", ""))) for t in license_scan.TEMPLATES[family]]
-        if p.max() >= least and max(len(gs & t) / len(t) for t in templates) >= license_scan.TEMPLATE_SHARE:
-            out.append((no, family))
+    for k in range(1, license_scan.LINES + 1):
+        for no in range(len(lines) - k + 1):
+            gs = license_scan.grams_py(license_scan.words_py(" ".join(lines[no : no + k])))
+            z = np.array(bias) + sum((np.array(weights[g]) for g in gs if g in weights), np.zeros(len(bias)))
+            p = np.exp(z - z.max())
+            family = license_scan.FAMILIES[int(p[:-1].argmax())]
+            templates = [license_scan.grams_py(license_scan.words_py(t.replace("{v}", ""))) for t in license_scan.TEMPLATES[family]]
+            out.append((k, no, family, float(p[:-1].max() / p.sum()), max(len(gs & t) / len(t) for t in templates)))
     return out
 
 
+def brute_licenses(text, least):
+    """(line number, family) of a text's licence paragraphs, every paragraph scored."""
+    kept = []
+    for k, no, family, p, share in brute_scores(text):
+        if p >= least and share >= license_scan.TEMPLATE_SHARE and not any(no < b + m and b < no + k for m, b, _ in kept):
+            kept.append((k, no, family))
+    return sorted((no, f) for _, no, f in kept)
+
+
 def test_license_whole_table(spark, docs, texts):
-    """All planted lines, and every line of the table scored."""
+    """All planted lines, and every paragraph of the table scored; the same however the rows are dealt."""
     planted = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "proprietary"}
+    least = license_scan.threshold(license_scan.calibration(license_scan.scored(license_scan.candidates(docs))))
     got = collections.defaultdict(list)
     for r in license_scan.classify(docs).collect():
         got[r["doc_id"]].append((r["line"], r["family"]))
-    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, t in texts if (x := brute_licenses(t))}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, t in texts if (x := brute_licenses(t, least))}
     for i, t in texts:
         assert {(no, planted[x]) for no, x in enumerate((t or "").split("\n")) if x in planted} <= set(got[i])
-    lines = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")
-    assert {r["doc_id"]: r["families"] for r in license_scan.scan(lines).collect()} == dict(enumerate(planted.values()))
+    whole = sorted(map(tuple, license_scan.scan(docs).collect()))
+    assert whole == sorted(map(tuple, license_scan.scan(docs.repartition(8)).collect())) == sorted(map(tuple, license_scan.scan(docs.repartition(3, "lang")).collect()))
+    lines = spark.createDataFrame([*enumerate(planted), *enumerate(planted)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["families"]) for r in license_scan.scan(lines).collect()) == sorted([*enumerate(planted.values())] * 2)
 
 
 def test_license_triggers_lose_nothing(spark):
     """Wrapped notices, and the parts of templates that reach the share without a word of the old list."""
-    wrapped = {"This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not": "mpl", "free of charge, to any person obtaining a copy of this software\nand associated documentation files": "mit"}
+    wrapped = {
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not": "mpl",
+        "free of charge, to any person obtaining a copy of this software\nand associated documentation files": "mit",
+        "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this\nsoftware and associated documentation": "mit",
+    }
     cut = []
     for t in (t.replace("{v}", "2.0") for ts in license_scan.TEMPLATES.values() for t in ts):
         ws = t.split(" ")
         cut += [" ".join(ws[i:j]) for i in range(len(ws)) for j in range(i + 1, len(ws) + 1)]
         cut += [" ".join(w for w in ws if w not in (x, y)) for x in ws for y in ws]
-    rows = list(enumerate([*wrapped, *dict.fromkeys(cut)]))
+        cut += ["\n".join([" ".join(ws[:i]), " ".join(ws[i:])]) for i in range(1, len(ws))]
+    rows = list(enumerate([*wrapped, *dict.fromkeys(cut), "\n", "license\n", "x\n\nlicense\n\n"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    least = license_scan.threshold(license_scan.calibration(license_scan.scored(license_scan.candidates(df))))
     got = collections.defaultdict(list)
-    for r in license_scan.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    for r in license_scan.classify(df).collect():
         got[r["doc_id"]].append((r["line"], r["family"]))
-    assert [got[i] for i, _ in rows[:2]] == [[(0, f)] for f in wrapped.values()]
-    assert {i: sorted(x) for i, x in got.items() if x} == {i: x for i, t in rows if (x := brute_licenses(t))}
+    assert [[f for _, f in got[i]] for i, _ in rows[:3]] == [[f] for f in wrapped.values()]
+    assert {i: sorted(x) for i, x in got.items() if x} == {i: x for i, t in rows if (x := brute_licenses(t, least))}
 
 
 def test_media(spark):
