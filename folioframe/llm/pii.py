@@ -1,13 +1,14 @@
 """Personal data: candidate spans, gradient-boosted trees, calibrated thresholds.
 
-High-recall generators propose overlapping spans. Spans of the base definitions (format
-plus checksum) are always personal data. The other candidates (addresses written out
-with "at" and "dot", phone numbers without a plus, social security numbers, international
-bank account numbers) are scored by boosted regression trees over features of their format
-and of the words around them; a span is selected when its calibrated probability reaches
-its kind's threshold, and overlapping selections are resolved in favour of the more likely
-one. The trees are trained here, on sentences drawn from format templates and decoys with
-a fixed seed; a held-out part of the same draw sets the thresholds for a precision.
+High-recall generators propose overlapping spans. Spans of the base definitions (format plus
+checksum) are candidates that are always personal data. The other candidates (addresses written
+out with "at" and "dot", phone numbers without a plus, social security numbers, international
+bank account numbers, and secrets: long runs of letters and digits) are scored by boosted
+regression trees over features of their format and of the words around them; a span is selected
+when its calibrated probability reaches its kind's threshold. Overlapping selections are resolved
+in favour of the more likely one, base spans first. The trees are trained on the driver, on drawn
+sentences and decoys with a fixed seed, and go to the workers with the task; a held-out part of
+the same draw sets the thresholds for a precision.
 
 Scanning is linear in the text: local parts are found from the "@" leftwards, digit runs
 are only tried at their starts.
@@ -15,8 +16,9 @@ are only tried at their starts.
 Offsets are code points, ends are exclusive.
 
 Edge cases: null and empty texts have no spans (``spans`` is ""); texts are scanned whole;
-repeated rows give repeated rows; an empty table gives an empty table; ``redact`` keeps
-all columns and replaces spans by ``[KIND]``.
+of candidates of one probability the first counts; repeated rows give repeated rows; an empty
+table gives an empty table; other columns are ignored by ``find``, and ``redact`` keeps all
+columns, whatever their names, and replaces spans by ``[KIND]``.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +39,7 @@ from . import common
 
 #: Base kinds in their order; kinds that the model adds follow.
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("email_text", "phone_local", "ssn", "iban")
+MORE_KINDS = ("email_text", "phone_local", "ssn", "iban", "secret")
 KINDS = BASE_KINDS + MORE_KINDS
 ORDER = {k: i for i, k in enumerate(KINDS)}
 PRECISION = 0.98
@@ -54,11 +58,12 @@ _CANDIDATES = {
     "phone_local": re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"),
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"),
 }
 #: What a text must hold for a generator to be worth running; each is part of every match.
-_HINT = {"email_text": re.compile("dot|DOT"), "phone_local": re.compile("[0-9]{3}[ .-][0-9]{4}"), "ssn": re.compile("-[0-9]{2}-"), "iban": re.compile("[A-Z]{2}[0-9]{2}")}
-_CONTEXT = re.compile(r"e-?mail|mail|contact|reach|call|phone|tel|mobile|cell|fax|ssn|social|security|iban|account|bank|transfer|write", re.I)
-_DECOY = re.compile(r"version|order|invoice|part|ticket|isbn|sku|serial|build|model|ref|item|code|price|total|page", re.I)
+_HINT = {"email_text": re.compile("dot|DOT"), "phone_local": re.compile("[0-9]{3}[ .-][0-9]{4}"), "ssn": re.compile("-[0-9]{2}-"), "iban": re.compile("[A-Z]{2}[0-9]{2}"), "secret": re.compile("[A-Za-z0-9+/_-]{16}")}
+_CONTEXT = re.compile(r"e-?mail|mail|contact|reach|call|phone|tel|mobile|cell|fax|ssn|social|security|iban|account|bank|transfer|write|token|secret|passw|api.?key|key|auth|bearer|credential", re.I)
+_DECOY = re.compile(r"version|order|invoice|part|ticket|isbn|sku|serial|build|model|ref|item|code|price|total|page|commit|sha|hash|digest|checksum|revision|uuid|id|file|path|http|www", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -133,9 +138,20 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
         float(any(w in s.lower().split() for w in ("the", "a", "is", "was", "of", "be", "look", "meet"))),
         float(len(set(s))) / len(s),
         float("$" in left[-3:] or "#" in left[-3:] or "/" in left[-2:]),
+        _entropy(s),
+        sum(c in "0123456789abcdefABCDEF" for c in s) / len(s),
+        float(any(c.islower() for c in s)) + float(any(c.isupper() for c in s)) + float(digits > 0),
+        sum(c in "/-_" for c in s) / len(s),
+        float(left[-1:] in "\"'" and left != "") + 2.0 * float(any(c in "=:" for c in left[-4:])),
     ]
 
 
+def _entropy(s: str) -> float:
+    """Bits a character, by the characters of the string itself."""
+    p = np.array(list(Counter(s[:4096]).values())) / min(len(s), 4096)
+    return float(-(p * np.log2(p)).sum())
+
+
 # -- training ---------------------------------------------------------------------------
 
 
@@ -144,6 +160,8 @@ def _draw(rng: random.Random) -> tuple[str, str, int, int, int]:
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(3, 8)))
     kind, label = rng.choice(MORE_KINDS), rng.random() < 0.5
+    if kind == "secret":
+        return _draw_secret(rng, label, num, word)
     cues = {"email_text": ("email me:", "write to", "contact", "mail"), "phone_local": ("call", "phone:", "tel", "mobile", "reach me on"), "ssn": ("ssn", "social security number", "SSN:"), "iban": ("iban", "account", "bank transfer to")}
     decoys = ("version", "order", "invoice no", "part", "ticket", "serial", "model", "ref", "item code", "build")
     if kind == "email_text":
@@ -170,6 +188,25 @@ def _draw(rng: random.Random) -> tuple[str, str, int, int, int]:
     return kind, left + s + " " + word(), len(left), len(left) + len(s), int(label)
 
 
+def _draw_secret(rng: random.Random, label: bool, num, word) -> tuple[str, str, int, int, int]:
+    """Keys and passwords as configuration and prose hold them; digests, names and paths as decoys."""
+    pick = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
+    hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    if label:
+        s = rng.choice((pick(hexa, 32, 64), pick(mixed, 20, 48), f"{word()}_{pick(mixed, 20, 32)}", pick(mixed + "+/", 24, 60) + rng.choice(("", "=", "=="))))
+        name = rng.choice(("token", "secret", "password", "api_key", "apikey", "access key", "auth", "client_secret", "passwd", "credentials", "private key", "bearer"))
+        left = name + rng.choice((" = ", "=", ": ", ":", " is ", " ")) + rng.choice(('"', "'", "", '"'))
+    else:
+        s = rng.choice((pick(hexa, 40, 40), pick(hexa, 64, 64), f"{word()}-{word()}-{num(4)}-{word()}", f"{word()}/{word()}/{word()}{num(2)}/{word()}", word() + word() + word() + num(4), num(rng.randint(16, 20)),
+                        f"{pick(hexa, 8, 8)}-{pick(hexa, 4, 4)}-{pick(hexa, 4, 4)}-{pick(hexa, 12, 12)}", "_".join(word() for _ in range(4)) + num(1)))
+        left = rng.choice(("commit ", "sha256: ", "checksum ", "revision ", "file ", "path ", "uuid ", "www.", "digest: ", "page ", "", word() + " ", word() + " "))
+    left = f"{word()} {word()} {left}"
+    text = f"{left}{s}{rng.choice((chr(34), '', ' '))} {word()}"
+    if rng.random() < 0.15:
+        text = text.upper()
+    return "secret", text, len(left), len(left) + len(s), int(label)
+
+
 class Boosted:
     """Gradient boosting with logistic loss and depth-limited regression trees."""
 
@@ -216,7 +253,7 @@ class Boosted:
 
 
 @lru_cache(1)
-def model(n: int = 1600, seed: int = SEED) -> tuple[Boosted, dict[str, float], list[float], list[float]]:
+def model(n: int = 2000, seed: int = SEED) -> tuple[Boosted, dict[str, float], list[float], list[float]]:
     """The trees, each kind's threshold, and the calibration curve (scores, probabilities)."""
     rng = random.Random(seed)
     rows = [_draw(rng) for _ in range(n)]
@@ -241,29 +278,43 @@ def model(n: int = 1600, seed: int = SEED) -> tuple[Boosted, dict[str, float], l
     return trees, limits, at, prob
 
 
-def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Selected candidates that overlap no base span and no more likely candidate."""
-    found = []
+def candidates(text: str, trained=None) -> list[tuple[float, int, str, int]]:
+    """(probability, start, kind, end) of what the generators propose beside the base spans."""
+    out = []
     for kind, pattern in _CANDIDATES.items():
         if _HINT[kind].search(text):
             for m in pattern.finditer(text):
-                trees, limits, at, prob = model()
-                p = float(np.interp(trees.score(features(kind, text, m.start(), m.end())), at, prob))
-                if p >= limits[kind]:
-                    found.append((-p, m.start(), kind, m.end()))
+                trees, _, at, prob = trained or model()
+                out.append((float(np.interp(trees.score(features(kind, text, m.start(), m.end())), at, prob)), m.start(), kind, m.end()))
+    return out
+
+
+def added_spans(text: str, base: list[tuple[str, int, int]], trained=None) -> list[tuple[str, int, int]]:
+    """Selected candidates that overlap no base span and no more likely candidate."""
+    found = candidates(text, trained)
+    limits = (trained or model())[1] if found else {}
+    starts: list[int] = []  # disjoint taken stretches, in order
+    ends: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out: list[tuple[str, int, int]] = []
-    ends = list(taken)
-    for _, a, kind, b in sorted(found):
-        if all(b <= x or a >= y for _, x, y in ends):
+    for _, a, kind, b in sorted((-p, a, kind, b) for p, a, kind, b in found if p >= limits[kind]):
+        i = bisect_right(starts, a)
+        if (i == 0 or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= b):
+            starts.insert(i, a)
+            ends.insert(i, b)
             out.append((kind, a, b))
-            ends.append((kind, a, b))
     return out
 
 
-def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def spans(text: str, trained=None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, each by start, then kind."""
     base = base_spans(text)
-    return base, sorted(base + added_spans(text, base), key=lambda s: (s[1], ORDER[s[0]], s[2]))
+    return base, sorted(base + added_spans(text, base, trained), key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
 def _join(found) -> str:
@@ -272,10 +323,11 @@ def _join(found) -> str:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts of the base kinds, the base spans' SHA-256, and all spans."""
+    trained = model()
 
     def make():
         def fn(texts):
-            both = [spans(t) for t in texts]
+            both = [spans(t, trained) for t in texts]
             counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in both], pa.int64()) for kind in BASE_KINDS]
             sha = [hashlib.sha256(_join(base).encode()).hexdigest() for base, _ in both]
             return counts + [pa.array(sha, pa.string()), pa.array([_join(x) for _, x in both], pa.string())]
@@ -286,9 +338,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return common.map_rows(docs.select(id_col, text_col), 1, fields, make, keep=[id_col])
 
 
-def redacted(text: str) -> str:
+def redacted(text: str, trained=None) -> str:
     out, at = [], 0
-    for kind, a, b in spans(text)[1]:
+    for kind, a, b in spans(text, trained)[1]:
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
         at = max(at, b)
@@ -297,14 +349,14 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind; null texts stay null, columns stay."""
-    index, schema = docs.columns.index(text_col), docs.schema
+    index, schema, trained = docs.columns.index(text_col), docs.schema, model()
 
     def run(batches):
         for batch in batches:
             for lo, hi, texts in common.sub_batches(batch, index):
                 part = batch.slice(lo, hi - lo)
                 nulls = part.column(index).is_null().to_pylist()
-                new = pa.array([None if none else redacted(t) for t, none in zip(texts, nulls)], pa.string())
+                new = pa.array([None if none else redacted(t, trained) for t, none in zip(texts, nulls)], pa.string())
                 arrays = [new if i == index else part.column(i) for i in range(part.num_columns)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
