@@ -511,12 +511,14 @@ def brute_matches(fps, every):
         if any(i % every == 0 for i in ids):
             found, a = [], prints[min(ids)]
             for c, b in prints.items():
-                votes = collections.Counter(p - q for p, x in enumerate(a) for q, y in enumerate(b) if x == y) if c != min(ids) else {}
-                off = max(votes, key=lambda o: (votes[o], -abs(o), o), default=None)
-                if off is not None and votes[off] >= media_fingerprint.MIN_VOTES:
+                votes = collections.Counter(p - q for p, x in enumerate(a) for q, y in enumerate(b) for m in media_fingerprint.MASKS if (x ^ y) & m == 0) if c != min(ids) else {}
+                fits = []
+                for off in (o for o, n in votes.items() if n >= media_fingerprint.MIN_VOTES):
                     bits, bad = media_fingerprint.align(a, b, off)
                     if bits * 2 >= 32 * min(len(a), len(b)) and bad <= media_fingerprint.MAX_BER * bits:
-                        found.append((round(bad / bits, 6), c, off))
+                        fits.append((round(bad / bits, 6), abs(off), -off))
+                if fits:
+                    found.append((min(fits)[0], c, -min(fits)[2]))
             out[min(ids)] = (len(found), *(min(found) if found else (None, None, None)))
     return out
 
@@ -538,8 +540,26 @@ def test_media_blocks(spark, monkeypatch):
     prints = media_fingerprint.Prints(pa.table({"no": [no], "cls": [no], "sizes": [[len(f) for f in fps]], "raw": [b"".join(f.astype("<u4").tobytes() for f in fps)]}))
     whole = [x.tolist() for x in media_fingerprint.matches(prints, prints)]
     for votes in (7, 400):  # here, as workers don't see what is changed in this process
-        monkeypatch.setattr(media_fingerprint, "MOST_VOTES", votes)
-        assert [x.tolist() for x in media_fingerprint.matches(prints, prints)] == whole
+        for bins in (0, 1 << 22):
+            monkeypatch.setattr(media_fingerprint, "MOST_VOTES", votes)
+            monkeypatch.setattr(media_fingerprint, "MOST_BINS", bins)
+            assert [x.tolist() for x in media_fingerprint.matches(prints, prints)] == whole
+
+
+def test_media_recall(spark):
+    """Of the pairs that brute force finds close without any vote, nine in ten or more are found; also by samples."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 64))
+    vectors = [*base, *(base[k % 40] + rng.normal(scale=0.1 + 0.007 * (k % 30), size=64) for k in range(160))]
+    prints = [media_fingerprint.fingerprint(media_fingerprint.render(list(v))) for v in vectors]
+    close = {(i, j) for i in range(0, 200, 5) for j in range(200) if i != j and np.bitwise_count(prints[i] ^ prints[j]).sum() <= media_fingerprint.MAX_BER * 32 * len(prints[i])}
+    df = spark.createDataFrame([(10 * i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"] // 10: r["n_matches"] for r in media_fingerprint.match(df).where("is_query").collect()}
+    want = collections.Counter(i for i, _ in close)
+    assert len(close) > 60 and sum(min(found[i], n) for i, n in want.items()) >= 0.9 * len(close)
+    sounds = spark.createDataFrame([(10 * i, [None, *media_fingerprint.render(list(v)).tolist()]) for i, v in enumerate(vectors[:6])] + [(990, None), (991, []), (992, [0.5])], "id long, s array<double>")
+    got = {r["vec_id"]: r["n_frames"] for r in media_fingerprint.match(sounds, "id", "s", audio=True).collect()}
+    assert got[0] > 100 and got[990] == got[991] == got[992] == 0
 
 
 def test_ledger_ablation(spark, docs):
