@@ -430,7 +430,12 @@ def brute_scores(text):
     out = []
     for k in range(1, license_scan.LINES + 1):
         for no in range(len(lines) - k + 1):
-            gs = license_scan.grams_py(license_scan.words_py(" ".join(lines[no : no + k])))
+            part = lines[no : no + k]
+            if k == 3 and len(part[1]) > license_scan.PART:
+                continue
+            if k > 1:
+                part = [license_scan.tail_py(part[0]), *part[1:-1], license_scan.head_py(part[-1])]
+            gs = license_scan.grams_py(license_scan.words_py(" ".join(part)))
             z = np.array(bias) + sum((np.array(weights[g]) for g in gs if g in weights), np.zeros(len(bias)))
             p = np.exp(z - z.max())
             family = license_scan.FAMILIES[int(p[:-1].argmax())]
@@ -469,7 +474,7 @@ def test_license_triggers_lose_nothing(spark):
     wrapped = {
         "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not": "mpl",
         "free of charge, to any person obtaining a copy of this software\nand associated documentation files": "mit",
-        "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this\nsoftware and associated documentation": "mit",
+        "prose " * 90 + "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this\nsoftware and associated documentation": "mit",
     }
     cut = []
     for t in (t.replace("{v}", "2.0") for ts in license_scan.TEMPLATES.values() for t in ts):
