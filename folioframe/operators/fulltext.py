@@ -1,27 +1,36 @@
-"""Full-text search: tokens, postings, BM25 over weighted columns, phrases and prefixes.
+"""Full-text search: tokens, stored postings, BM25 over weighted columns, phrases and prefixes.
 
 Corpus statistics (rows, mean length, document frequencies) are taken over all fragments;
 scope and filters apply to scored rows, so they don't change scores.
+
+``Postings.build`` writes an inverted index: for each term, fragment and column the positions and
+the fragment's length, in buckets by the term's first letters, sorted by term inside. A query reads
+the buckets of its terms alone, and of them the row groups that hold the terms. ``bm25`` scores
+without an index, in one pass over the texts that counts inside each row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.errors import query_error
 from folioframe.functions.porter import stem
+from folioframe.shipping import ship
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WEIGHTS = {"body": 2.0, "code": 0.5, "headings": 3.0}
 MAX_QUERY = 1024
 TOKEN = r"[\p{L}\p{N}_-]+"
+#: Buckets of an index, tasks that write a bucket, and the letters that choose it (a prefix has as many).
+BUCKETS, SALTS, LETTERS = 32, 4, 3
 
 
 def fold(text: str) -> str:
@@ -33,15 +42,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def _stems(words: pd.Series) -> pd.Series:
-    memo: dict[str, str] = {}
+@lru_cache(200_000)
+def root(word: str) -> str:
+    """A folded and stemmed word; a worker remembers the words it has seen."""
+    return stem(fold(word))
 
-    def one(w: str) -> str:
-        if w not in memo:
-            memo[w] = stem(fold(w))
-        return memo[w]
 
-    return words.map(lambda ws: [one(w) for w in ws])
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: [root(w) for w in ws])
 
 
 def stemmed(words: Column) -> Column:
@@ -71,47 +79,135 @@ def sanitize(query: str) -> list[Phrase]:
     return out
 
 
-def postings(fragments: DataFrame, id_col: str = "frag_id", stem_words: bool = False) -> DataFrame:
-    """(id, col, term, pos) of every token."""
-    out = []
-    for c in WEIGHTS:
-        words = tokens(F.col(c))
-        if stem_words:
-            words = stemmed(words)
-        out.append(fragments.select(id_col, F.lit(c).alias("col"), F.posexplode(words).alias("pos", "term")))
-    return reduce(DataFrame.unionAll, out)
+def _words(fragments: DataFrame, id_col: str, stem_words: bool) -> DataFrame:
+    """id, the words of each column, and their number ``d``."""
+    words = [tokens(F.col(c)) for c in WEIGHTS]
+    rows = fragments.select(id_col, *[(stemmed(w) if stem_words else w).alias(f"w_{c}") for c, w in zip(WEIGHTS, words)])
+    return rows.withColumn("d", reduce(lambda a, b: a + b, [F.size(f"w_{c}") for c in WEIGHTS]))
 
 
-def _hits(post: DataFrame, phrases: list[Phrase], id_col: str) -> DataFrame:
-    """(phrase, id, col, count): occurrences of each phrase, found by its first term."""
-    out = []
-    for i, p in enumerate(phrases):
-        match = F.col("term").startswith(p.terms[-1]) if p.prefix else F.col("term") == p.terms[-1]
-        if len(p.terms) == 1:
-            found = post.where(match)
-        else:
-            places = [post.where(match if k == len(p.terms) - 1 else F.col("term") == t).select(id_col, "col", (F.col("pos") - k).alias("pos")) for k, t in enumerate(p.terms)]
-            found = reduce(lambda a, b: a.join(b.distinct(), [id_col, "col", "pos"], "left_semi"), places)
-        out.append(found.groupBy(id_col, "col").agg(F.count(F.lit(1)).alias("n")).withColumn("phrase", F.lit(i)))
-    return reduce(DataFrame.unionByName, out)
+def _phrases(query: str, stem_words: bool) -> list[Phrase]:
+    found = sanitize(query)
+    return [Phrase(tuple(root(t) for t in p.terms), p.prefix) for p in found] if stem_words else found
+
+
+def _matches(term: Column, p: Phrase, k: int) -> Column:
+    """Whether a word fits place k of a phrase."""
+    return term.startswith(p.terms[k]) if p.prefix and k == len(p.terms) - 1 else term == p.terms[k]
+
+
+def _in_row(words: Column, p: Phrase) -> Column:
+    """Occurrences of a phrase in an array of words."""
+    if len(p.terms) == 1:
+        return F.size(F.filter(words, lambda w: _matches(w, p, 0)))
+    last = len(p.terms) - 1
+    fits = lambda i: reduce(lambda a, b: a & b, [_matches(F.element_at(words, i - (last - k)), p, k) for k in range(last, -1, -1)])
+    places = F.when(F.size(words) > last, F.sequence(F.lit(last + 1), F.size(words))).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(places, fits))
+
+
+def _scored(per: DataFrame, phrases: list[Phrase], id_col: str, n_rows: Column, avgdl: Column, stats: list[Column]) -> DataFrame:
+    """(id, score) of rows (id, d, f0, f1, ..) where each phrase's weighted count is above 0."""
+    counts = [F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(phrases))]
+    one = per.agg(*counts, *stats)  # one row
+    rows = per.where(reduce(lambda a, b: a & b, [F.col(f"f{i}") > 0 for i in range(len(phrases))])).crossJoin(F.broadcast(one))
+    parts = []
+    for i in range(len(phrases)):
+        idf = F.log((n_rows - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
+        parts.append(idf * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("d") / avgdl)))
+    return rows.select(id_col, reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def bm25(fragments: DataFrame, query: str, id_col: str = "frag_id", stem_words: bool = False) -> DataFrame:
-    """(id, score) of the fragments that hold all phrases of the query."""
-    phrases = sanitize(query)
+    """(id, score) of the fragments that hold all phrases of the query, by reading all of them."""
+    phrases = _phrases(query, stem_words)
     if not phrases:
         return fragments.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    if stem_words:
-        phrases = [Phrase(tuple(stem(fold(t)) for t in p.terms), p.prefix) for p in phrases]
-    sizes = reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in WEIGHTS])
-    lengths = fragments.select(id_col, sizes.alias("d"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avgdl"))
-    hits = _hits(postings(fragments, id_col, stem_words), phrases, id_col)
-    weight = F.create_map(*[x for c, w in WEIGHTS.items() for x in (F.lit(c), F.lit(w))])
-    per = hits.groupBy(id_col, "phrase").agg(F.sum(F.col("n") * weight[F.col("col")]).alias("f"))
-    df = per.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # a row for each phrase
-    idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.select("phrase", "avgdl", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))
-    rows = per.join(F.broadcast(df), "phrase").join(lengths, id_col)
-    return rows.groupBy(id_col).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("k")).where(F.col("k") == len(phrases)).drop("k")
+    rows = _words(fragments, id_col, stem_words)
+    f = [reduce(lambda a, b: a + b, [_in_row(F.col(f"w_{c}"), p) * w for c, w in WEIGHTS.items()]).alias(f"f{i}") for i, p in enumerate(phrases)]
+    per = rows.select(id_col, "d", *f)
+    return _scored(per, phrases, id_col, F.col("n_rows"), F.col("avgdl"), [F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avgdl")])
+
+
+def _minus(k: int):
+    return lambda x: x - k
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(F.substring(term, 1, LETTERS).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+class Postings:
+    """A stored inverted index over fragments (id, body, code, headings)."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        about = spark.read.parquet(f"{folder}/about").first()
+        self.n_rows, self.avgdl, self.stem_words, self.id_type = about["n_rows"], about["avgdl"], about["stem_words"], about["id_type"]
+
+    @classmethod
+    def build(cls, fragments: DataFrame, folder: str, id_col: str = "frag_id", stem_words: bool = False) -> Postings:
+        """Write the index of all fragments: one pass over the texts and one exchange of the words.
+
+        A bucket is written by SALTS tasks, each with its share of the fragments, so a frequent
+        term's postings are in several files.
+        """
+        spark = ship(fragments.sparkSession)
+        rows = _words(fragments.withColumnRenamed(id_col, "id"), "id", stem_words)
+
+        def places(c: str) -> Column:
+            return F.transform(f"w_{c}", lambda w, i: F.struct(F.lit(c).alias("col"), w.alias("term"), i.alias("pos")))
+
+        each = F.concat(*map(places, WEIGHTS))
+        words = rows.select("id", F.col("d").cast("int").alias("d"), F.explode(each).alias("w")).select("id", "d", "w.*")
+        words = words.withColumn("bucket", _bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        words = words.repartition(BUCKETS * SALTS, "bucket", "salt")
+        grouped = words.groupBy("bucket", "salt", "term", "id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("d").alias("d"))
+        grouped = grouped.sortWithinPartitions("bucket", "term", "id").drop("salt")
+        grouped.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/postings")
+        total = spark.read.parquet(f"{folder}/postings").agg(F.sum(F.size("positions").cast("long")).alias("words"))
+        about = fragments.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(total)  # a row each
+        avgdl = F.when(F.col("n_rows") > 0, F.coalesce("words", F.lit(0)) / F.col("n_rows")).otherwise(0.0)
+        about.select("n_rows", avgdl.alias("avgdl"), F.lit(stem_words).alias("stem_words"), F.lit(rows.schema["id"].dataType.simpleString()).alias("id_type")).coalesce(1).write.parquet(f"{folder}/about")
+        return cls(spark, folder)
+
+    def _read(self, phrases: list[Phrase]) -> DataFrame:
+        """The postings of the phrases' words, from their buckets."""
+        exact = sorted({t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)})
+        prefixes = sorted({p.terms[-1] for p in phrases if p.prefix})
+        chosen = {zlib.crc32(t[:LETTERS].encode()) % BUCKETS for t in [*exact, *prefixes]}
+        if any(len(t) < LETTERS for t in prefixes):  # a stem may be shorter than the letters it was asked by
+            chosen = set(range(BUCKETS))
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        paths = [f"{self.folder}/postings/bucket={b}" for b in sorted(chosen)]
+        there = [p for p in paths if (at := fs.Path(p)).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)]
+        schema = f"term string, id {self.id_type}, col string, positions array<int>, d int"
+        rows = self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
+        wanted = [F.col("term").isin(exact)] * bool(exact) + [F.col("term").startswith(t) for t in prefixes]
+        return rows.where(reduce(lambda a, b: a | b, wanted))
+
+    def search(self, query: str, id_col: str = "frag_id") -> DataFrame:
+        """(id, score) of the fragments that hold all phrases of the query."""
+        phrases = _phrases(query, self.stem_words)
+        if not phrases:
+            return self.spark.createDataFrame([], f"{id_col} {self.id_type}, score double")
+        rows = self._read(phrases)
+        weight = F.create_map(*[x for c, w in WEIGHTS.items() for x in (F.lit(c), F.lit(w))])[F.col("col")]
+        sums, names = [], []
+        for i, p in enumerate(phrases):
+            if len(p.terms) == 1:
+                sums.append(F.sum(F.when(_matches(F.col("term"), p, 0), F.size("positions") * weight).otherwise(0.0)).alias(f"f{i}"))
+                names.append(F.col(f"f{i}"))
+                continue
+            of = []
+            for c, w in WEIGHTS.items():
+                for k in range(len(p.terms)):  # where place k would put the phrase's beginning
+                    begins = F.transform(F.col("positions"), _minus(k))
+                    here = F.when((F.col("col") == c) & _matches(F.col("term"), p, k), begins)
+                    sums.append(F.flatten(F.collect_list(here)).alias(f"p{i}_{c}_{k}"))
+                both = reduce(F.array_intersect, [F.col(f"p{i}_{c}_{k}") for k in range(len(p.terms))])
+                of.append(F.size(both) * w)
+            names.append(reduce(lambda a, b: a + b, of).alias(f"f{i}"))
+        per = rows.groupBy("id").agg(F.first("d").alias("d"), *sums).select(F.col("id").alias(id_col), "d", *names)
+        return _scored(per, phrases, id_col, F.lit(self.n_rows), F.lit(self.avgdl), [])

@@ -15,11 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.operators import diff
+from folioframe.operators import diff, fulltext
 from folioframe.parse import shred
 from folioframe.sources.vault import read_vault
 
-SHAPE_VERSION = 1
+SHAPE_VERSION = 2
 TABLES = ("files", "frontmatter", "tags", "fragments", "links", "blocks", "metrics")
 HISTORY = "file string, stable_id string, heading_text string, heading_path array<string>, structural_path string, retired_at double"
 
@@ -56,6 +56,15 @@ class VaultIndex:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.manifest['folder']}/{name}")
 
+    def fragments(self, folder: str | None = None) -> DataFrame:
+        """The fragments with a key of their own, ``frag_id``."""
+        rows = self.spark.read.parquet(f"{folder or self.manifest['folder']}/fragments")
+        return rows.withColumn("frag_id", F.concat_ws("#", "file", F.col("pos").cast("string")))
+
+    def postings(self) -> fulltext.Postings:
+        """The snapshot's inverted index: folded, stemmed words of the fragments."""
+        return fulltext.Postings(self.spark, f"{self.manifest['folder']}/search")
+
     def history(self) -> DataFrame:
         folder = self.manifest["folder"]
         return self.spark.read.schema(HISTORY).parquet(f"{folder}/history") if folder else self.spark.createDataFrame([], HISTORY)
@@ -67,6 +76,7 @@ class VaultIndex:
         for name, df in tables.items():
             df.write.parquet(f"{folder}/{name}")
         history.select([c.split()[0] for c in HISTORY.split(", ")]).write.parquet(f"{folder}/history")
+        fulltext.Postings.build(self.fragments(folder), f"{folder}/search", stem_words=True)
         return self._commit(folder)
 
     def refresh(self) -> int:

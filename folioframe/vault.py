@@ -39,10 +39,10 @@ class Vault:
         predicate = filters.compile_filter(filter_tree)
         phrases = fulltext.sanitize(query)
         self._ready()
-        frags = self.index.table("fragments").withColumn("frag_id", F.concat_ws("#", "file", F.col("pos").cast("string")))
+        frags = self.index.fragments()
         path = F.coalesce(F.to_json("heading_path"), F.lit("")).alias("path")
         if phrases:
-            rows = fulltext.bm25(frags, query, stem_words=True).join(frags, "frag_id")
+            rows = self.index.postings().search(query).join(frags, "frag_id")
         else:
             rows = frags.withColumn("score", F.lit(0.0)).where(F.lit(predicate is not None))
         rows = rows.where(filters.scope(*scope))
