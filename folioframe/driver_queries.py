@@ -49,7 +49,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("file"),
         F.array(F.lower("lang"), F.lower(F.concat_ws("/", "lang", "source"))).alias("tags"),
-        F.to_json(F.struct("quality", "toxic", F.col("n_chars").alias("n.chars"), "lang", F.array("lang", "source").alias("aliases"), F.struct("source").alias("origin"), F.when(F.col("doc_id") % 5 == 0, "").alias("note"))).alias("fields"),
+        F.to_json(F.struct("quality", "toxic", F.col("n_chars").alias("n.chars"), "lang", F.array("lang", "source").alias("aliases"), F.struct("source").alias("origin"), F.expr("CASE WHEN n_chars % 2 = 1 THEN parse_json('[1, \"x\"]') ELSE parse_json('[1, 1.0, true]') END").alias("sizes"), F.when(F.col("doc_id") % 5 == 0, "").alias("note"))).alias("fields"),
         F.when(F.col("doc_id") % 3 == 0, day).alias("created"),
         F.lit(None).cast("string").alias("updated"),
         (F.col("doc_id") * 86400000.0).alias("mtime"),
@@ -96,6 +96,8 @@ _filter_query("f11_string_range", {"fields": {"lang": {"gt": "en"}}}, "lang > 'e
 _filter_query("f12_string_range_on_number", {"fields": {"quality": {"lt": "a"}}}, "quality IS NOT NULL")
 _filter_query("f13_field_has", {"fields": {"aliases": {"has": "src7"}}}, "source = 'src7'")
 _filter_query("f13_field_has_any", {"fields": {"aliases": {"has_any": ["fr", "src4"]}}}, "lang = 'fr' OR source = 'src4'")
+_filter_query("f13_field_has_typed", {"fields": {"sizes": {"has": "1"}}}, "false")
+_filter_query("f13_field_has_string", {"fields": {"sizes": {"has_any": ["1", "x"]}}}, "n_chars % 2 = 1")
 _filter_query("f14_boolean_tree", {"or": [{"not": {"tags": {"has": "en"}}}, {"and": [{"fields": {"quality": {"eq": 0}}}, {"tags": {"has": "en"}}]}]}, "lang <> 'en' OR (quality = 0 AND lang = 'en')")
 _filter_query("f14_not_null", {"not": {"fields": {"quality": {"eq": 1}}}}, "quality <> 1")
 _filter_query("f15_nested_path", {"fields": {"origin.source": {"eq": "src9"}}}, "source = 'src9'")
@@ -232,9 +234,9 @@ def p7(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("p4_heading_text_and_slug", r"SELECT doc_id, regexp_replace(trim(substr(text, 1, 60)), '\s+', ' ', 'g') AS heading, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 60))), '[^\p{L}\p{N}\s_-]', '', 'g'), '\s', '-', 'g') AS slug FROM documents")
+@query("p4_heading_text_and_slug", r"SELECT doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS heading, regexp_replace(regexp_replace(lower(trim(text)), '[^\p{L}\p{N}\s_-]', '', 'g'), '\s', '-', 'g') AS slug FROM documents")
 def p4(spark, sf_dir):
-    head = F.substring("text", 1, 60)
+    head = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", scalars.heading_text(head).alias("heading"), scalars.slug(head).alias("slug"))
 
 
@@ -293,10 +295,10 @@ def o5(spark, sf_dir):
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("pos"), level.alias("level"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("tokens"), F.substring("text", 1, 20).alias("heading_text"))
+    return c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("pos"), level.alias("level"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("tokens"), F.col("text").alias("heading_text"))
 
 
-_HEAD = "h AS (SELECT conv_id::VARCHAR AS file, turn AS pos, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, length(coalesce(text, '')) AS tokens, substr(text, 1, 20) AS heading_text FROM conversations)"
+_HEAD = "h AS (SELECT conv_id::VARCHAR AS file, turn AS pos, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level, length(coalesce(text, '')) AS tokens, text AS heading_text FROM conversations)"
 _PARENT = f"{_HEAD}, p AS (SELECT *, (SELECT max(b.pos) FROM h b WHERE b.file = a.file AND b.pos < a.pos AND b.level < a.level) AS parent_pos FROM h a)"
 _SIB = f"{_PARENT}, s AS (SELECT *, row_number() OVER (PARTITION BY file, parent_pos, level ORDER BY pos) - 1 AS sibling FROM p)"
 
@@ -330,47 +332,57 @@ def p12(spark, sf_dir):
 @query("j14_fuzzy_recovery")
 def j14(spark, sf_dir):
     rows = outline.structural_paths(headings(spark, sf_dir))
-    return fuzzy.recover(rows.where("pos % 3 = 1"), rows.where("pos % 3 <> 1"))
+    return fuzzy.recover(rows.where("level = 2"), rows.where("level = 3"))
 
 
 # -- links --------------------------------------------------------------------------------
 
 
 def link_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths(spark, sf_dir).select(F.concat("file", F.lit(".md")).alias("file")).distinct()
+    return paths(spark, sf_dir).select(F.concat(F.regexp_replace("file", "[.]html$", ""), F.lit(".md")).alias("file")).distinct()
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link from each page: to the last segment of another's address, every fifth dangling."""
-    p = paths(spark, sf_dir)
-    n = p.count()
-    last = F.substring_index("file", "/", -1)
-    two = F.substring_index("file", "/", -2)
-    target = p.select(F.col("page_id").alias("t"), F.when(F.col("page_id") % 3 == 0, two).otherwise(last).alias("name"))
-    rows = p.select(F.col("page_id").alias("link_id"), F.concat("file", F.lit(".md")).alias("source_file"), ((F.col("page_id") * 7 + 3) % n).alias("t"))
+    """A link from each page to another's address: its last segment or two, with an extension, relative
+    to the page's folder or the one above, an anchor of the page itself, an asset, or dangling."""
+    p = paths(spark, sf_dir).withColumn("file", F.regexp_replace("file", "[.]html$", ""))
+    n = F.broadcast(p.agg(F.count(F.lit(1)).alias("pages")))  # one row
+    last, two = F.substring_index("file", "/", -1), F.substring_index("file", "/", -2)
+    target = p.select(F.col("page_id").alias("t"), F.when(F.col("page_id") % 3 == 0, two).otherwise(last).alias("name"), two.alias("two"), last.alias("last"))
+    rows = p.crossJoin(n).select(F.col("page_id").alias("link_id"), F.concat("file", F.lit(".md")).alias("source_file"), ((F.col("page_id") * 7 + 3) % F.col("pages")).alias("t"))
     rows = rows.join(target, "t")
-    name = F.when(F.col("link_id") % 5 == 0, F.concat("name", F.lit("-gone"))).otherwise(F.col("name"))
-    return links.parse_target(rows.select("link_id", "source_file", F.concat(name, F.when(F.col("link_id") % 4 == 0, "#Top").otherwise("")).alias("raw_target")))
+    k, id_ = F.col("link_id") % 11, F.col("link_id")
+    plain = F.concat("name", F.when(id_ % 7 == 0, ".html").when(id_ % 5 == 0, "-gone").otherwise(""))
+    raw = F.when(k == 1, F.concat(F.lit("./"), "last")).when(k == 2, F.concat(F.lit("../"), "two")).when(k == 3, F.concat(plain, F.lit(".md"))).when(k == 4, "").otherwise(plain)
+    anchor = F.when((id_ % 4 == 0) | (k == 4), "#Top").otherwise("")
+    return links.parse_target(rows.select("link_id", "source_file", F.concat(raw, anchor).alias("raw_target")))
 
 
 _EDGES = f"""
-p AS (SELECT page_id, {_PATH} AS f FROM pages),
+p AS (SELECT page_id, regexp_replace({_PATH}, '[.]html$', '') AS f FROM pages),
 files AS (SELECT DISTINCT f || '.md' AS path FROM p),
-e AS (SELECT a.page_id AS link_id, a.f || '.md' AS source_file,
-   (CASE WHEN b.page_id % 3 = 0 THEN CASE WHEN len(string_split(b.f, '/')) > 1 THEN array_to_string(string_split(b.f, '/')[-2:], '/') ELSE b.f END ELSE regexp_extract(b.f, '[^/]*$') END)
-   || CASE WHEN a.page_id % 5 = 0 THEN '-gone' ELSE '' END AS target
-   FROM p a JOIN p b ON b.page_id = (a.page_id * 7 + 3) % (SELECT count(*) FROM p)),
-c AS (SELECT link_id, source_file, target, path, len(string_split(path, '/')) AS depth
-   FROM e LEFT JOIN files ON CASE WHEN contains(target, '/') THEN lower('/' || path) LIKE '%/' || replace(replace(lower(target), '%', '\\%'), '_', '\\_') || '.md' ESCAPE '\\'
-        ELSE lower(regexp_extract(path, '[^/]*$')) = lower(target) || '.md' END),
-r AS (SELECT link_id, source_file, target, max(CASE WHEN lower(path) = lower(target) || '.md' THEN path END) AS root, count(path) AS n_all,
+s AS (SELECT page_id, f, string_split(f, '/') AS x FROM p),
+e AS (SELECT a.page_id AS link_id, a.f || '.md' AS source_file, a.page_id % 11 AS k, regexp_replace(a.f, '/?[^/]*$', '') AS dir, b.x[-1] AS last,
+   CASE WHEN len(b.x) > 1 THEN array_to_string(b.x[-2:], '/') ELSE b.f END AS two,
+   CASE WHEN b.page_id % 3 = 0 AND len(b.x) > 1 THEN array_to_string(b.x[-2:], '/') ELSE b.x[-1] END
+   || CASE WHEN a.page_id % 7 = 0 THEN '.html' WHEN a.page_id % 5 = 0 THEN '-gone' ELSE '' END AS plain
+   FROM s a JOIN s b ON b.page_id = (a.page_id * 7 + 3) % (SELECT count(*) FROM p)),
+t AS (SELECT link_id, source_file, k, k IN (1, 2) AS rel,
+   CASE k WHEN 1 THEN CASE WHEN dir = '' THEN last ELSE dir || '/' || last END
+          WHEN 2 THEN CASE WHEN dir = '' THEN NULL WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') || '/' || two ELSE two END
+          WHEN 3 THEN plain || '.md' WHEN 4 THEN '' ELSE plain END AS target FROM e),
+u AS (SELECT *, lower(regexp_extract(regexp_extract(target, '[^/]*$'), '.\.([^.]*)$', 1)) AS ext, regexp_replace(lower(target), '\.md$', '') || '.md' AS want, contains(target, '/') AS slash FROM t),
+c AS (SELECT link_id, source_file, k, rel, slash, ext, want, path, len(string_split(path, '/')) AS depth
+   FROM u LEFT JOIN files ON ext IN ('', 'md') AND target <> '' AND ends_with('/' || lower(path), '/' || want)),
+r AS (SELECT link_id, source_file, k, rel, slash OR rel AS slash, max(CASE WHEN lower(path) = want AND (slash OR rel OR ext = 'md') THEN path END) AS root, count(path) AS n_all,
       count(path) FILTER (depth = md) AS n_min, min(path) FILTER (depth = md) AS one, min(path) AS any_one
-      FROM (SELECT *, min(depth) OVER (PARTITION BY link_id) AS md FROM c) GROUP BY 1, 2, 3),
-res AS (SELECT link_id, source_file, coalesce(CASE WHEN contains(target, '/') THEN root END, CASE WHEN contains(target, '/') THEN CASE WHEN n_all = 1 THEN any_one END WHEN n_min = 1 THEN one END) AS path, n_all FROM r)
+      FROM (SELECT *, min(depth) OVER (PARTITION BY link_id) AS md FROM c) GROUP BY ALL),
+res AS (SELECT link_id, source_file, CASE WHEN k = 4 THEN source_file WHEN root IS NOT NULL THEN root WHEN rel THEN NULL WHEN slash THEN CASE WHEN n_all = 1 THEN any_one END WHEN n_min = 1 THEN one END AS path,
+        NOT rel AND CASE WHEN slash THEN n_all ELSE n_min END > 1 AS several FROM r)
 """
 
 
-@query("j9_resolve_links", f"WITH {_EDGES} SELECT link_id, source_file, CASE WHEN path IS NOT NULL THEN 'resolved' WHEN n_all > 0 THEN 'ambiguous' ELSE 'unresolved' END AS status, path FROM res")
+@query("j9_resolve_links", f"WITH {_EDGES} SELECT link_id, source_file, CASE WHEN path IS NOT NULL THEN 'resolved' WHEN several THEN 'ambiguous' ELSE 'unresolved' END AS status, path FROM res")
 def j9(spark, sf_dir):
     return links.resolve(edges(spark, sf_dir), link_files(spark, sf_dir)).select("link_id", "source_file", "status", "path")
 
@@ -500,11 +512,6 @@ def j2(spark, sf_dir):
 
 @query("j4_semi_and_existence", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) OR o_orderpriority LIKE '1%'")
 def j4(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
-    return spark.sql("SELECT o_orderkey FROM _orders WHERE EXISTS (SELECT 1 FROM _lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) OR o_orderpriority LIKE '1%'")
-
-
-def request_filter(text: str) -> Column | None:
-    """A filter from its JSON text, as requests carry it."""
-    return filters.compile_filter(json.loads(text))
+    large = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("large", F.lit(True))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return orders.join(large, "o_orderkey", "left").where(F.col("large") | F.col("o_orderpriority").startswith("1")).select("o_orderkey")

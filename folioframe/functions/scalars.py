@@ -54,10 +54,6 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"(?<=.)\.([^.]*)$", 1))
 
 
-def is_hidden(path: Column) -> Column:
-    """A segment that starts with a dot, and isn't just dots."""
-    return path.rlike(r"(^|/)\.[^/]") & ~path.rlike(r"^\.\.?$")
-
 
 def path_policy(path: Column) -> Column:
     """The first rule that a vault path breaks, or NULL."""
@@ -73,8 +69,3 @@ def path_policy(path: Column) -> Column:
         .when(F.array_contains(parts, ".") | F.array_contains(parts, ".."), "DOT_SEGMENT")
         .when(F.size(parts) > 32, "TOO_DEEP")
     )
-
-
-def json_fence(text: Column, limit: int = 65536) -> Column:
-    """A fenced block of JSON; cut ones are marked as text."""
-    return F.when(F.char_length(text) <= limit, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(F.concat(F.lit("```text\n"), F.substring(text, 1, limit), F.lit("\n```")))

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from folioframe.functions.scalars import basename, dirname, extension
 from folioframe.storage import staged
 
-NOTE_EXTENSIONS = ("md", "yaml", "yml", "prisma")
+#: Extensions that a link may lead to; a target with another one is an asset.
+LINKABLE = ("md",)
+HEADING_SPLIT = r"\s+(?:(?<!\\)[›>]\s+)+"
 
 
 def parse_target(links: DataFrame, col: str = "raw_target") -> DataFrame:
@@ -36,10 +38,20 @@ def embed_kind(target: str = "raw_target"):
     )
 
 
-def file_index(files: DataFrame) -> DataFrame:
-    """(path, low, base, depth): what resolution looks targets up in."""
-    base = F.lower(basename(F.col("file")))
-    return files.select(F.col("file").alias("path"), F.lower("file").alias("low"), F.regexp_replace(base, r"(?<=.)\.[^.]*$", "").alias("base"), F.size(F.split("file", "/")).alias("depth"))
+def _suffix_keys(files: DataFrame) -> DataFrame:
+    """(key, typed, n, least, n_least, path, least_path): files by each suffix of their path.
+
+    A file has a row for each of its last 1, 2, .. segments without its extension, and with it
+    (``typed``). All files of a key are one row, so a link meets one row, however common its name.
+    """
+    low = F.lower("file")
+    parts = F.split(F.regexp_replace(low, r"\.[^./]*$", ""), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))
+    rows = files.select(F.col("file").alias("path"), F.size(parts).alias("depth"), extension(F.col("file")).alias("ext"), F.explode(ends).alias("end"))
+    both = F.array(F.struct(F.col("end").alias("key"), F.lit(False).alias("typed")), F.struct(F.concat_ws(".", "end", "ext").alias("key"), F.lit(True).alias("typed")))
+    rows = rows.select("path", "depth", F.explode(both).alias("k")).select("path", "depth", "k.*")
+    per = rows.groupBy("key", "typed", "depth").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+    return per.groupBy("key", "typed").agg(F.sum("n").alias("n"), F.min("path").alias("path"), F.min(F.struct("depth", "n", "path")).alias("l")).select("key", "typed", "n", "path", F.col("l.n").alias("n_least"), F.col("l.path").alias("least_path"))
 
 
 def source_relative(target, source):
@@ -54,39 +66,32 @@ def resolve(links: DataFrame, files: DataFrame, key: str = "link_id") -> DataFra
     """link key, status (resolved, ambiguous, unresolved) and path of every link.
 
     A target that starts with ``./`` or ``../`` is looked up from the source file's folder
-    alone; an anchor without a file is the source file's own, whatever ``files`` holds.
-    Any other target with a slash or a known extension is looked up as a path (as it is, or with
-    one of the extensions in order), then as a unique path suffix; a bare name by its
-    base name, where the strictly shallowest path wins. All links go through the same
-    equality joins; only those the phase before left open count in the next.
+    alone; an anchor without a file is the source file's own, whatever ``files`` holds. A target
+    with an extension that isn't LINKABLE is an asset and unresolved. Others with a slash or an
+    extension are looked up as a path (as it is, or with one of the extensions in order); then,
+    with a slash, as a path suffix that one file alone has; a bare name, with or without
+    extension, by its base name, where the strictly shallowest path wins. All links go through
+    the same two equality joins, each with one row a key; what the phase before left open counts
+    in the next.
     """
-    index = file_index(files)
-    exact = index.groupBy("low").agg(F.min("path").alias("path"))
-    low = F.lower("target_file")
-    ext = extension(F.col("target_file"))
-    known = ext.isin(*NOTE_EXTENSIONS)
-    relative = F.col("target_file").rlike(r"^\.\.?/")
-    low = F.when(relative, F.lower(source_relative(F.col("target_file"), F.col("source_file")))).otherwise(low)
-    todo = links.withColumns({"low": low, "pathlike": F.col("target_file").contains("/") | known, "known": known, "relative": relative})
-    tries = F.array(*[F.struct(F.lit(i).alias("nth"), F.concat("low", F.lit(e)).alias("want")) for i, e in enumerate(["", *(f".{e}" for e in NOTE_EXTENSIONS)])])
-    wanted = todo.where("pathlike and target_file <> ''").select(key, "relative", "low", F.explode(tries).alias("t")).select(key, "relative", "low", "t.*")
-    wanted = wanted.where(~F.col("relative") | (F.col("nth") == 0) | (extension(F.col("low")) == ""))
-    wanted = wanted.where(F.substring_index("want", ".", -1).isin(*NOTE_EXTENSIONS))
-    root = wanted.join(exact, wanted["want"] == exact["low"]).groupBy(key).agg(F.min(F.struct("nth", "path")).alias("b")).select(key, F.col("b.path").alias("root_path"))
-    stem = F.when(F.col("known"), F.regexp_replace(F.substring_index("low", "/", -1), r"\.[^.]*$", "")).otherwise(F.substring_index("low", "/", -1))
-    names = todo.where("target_file <> '' and not relative").select(key, "low", "pathlike", "known", stem.alias("base"))
-    by_name = names.join(index.select("path", "base", "depth", F.col("low").alias("plow")), "base")
-    suffix = F.concat(F.lit("/"), F.col("low"))
-    whole = F.concat(F.lit("/"), F.col("plow"))
-    fits = ~F.col("pathlike") | F.when(F.col("known"), F.endswith(whole, suffix)).otherwise(F.endswith(F.regexp_replace(whole, r"\.[^./]*$", ""), suffix))
-    w = Window.partitionBy(key)
-    ranked = by_name.where(fits).withColumn("least", F.min("depth").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
-    near = ranked.where((F.col("depth") == F.col("least")) | F.col("pathlike")).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("name_path"))
-    out = todo.join(root, key, "left").join(near, key, "left")
-    unique = F.col("n") == 1
-    own = (F.col("target_file") == "") & (F.coalesce(F.col("target_heading").rlike(r"[^\s>]"), F.lit(False)) | F.col("target_block").isNotNull())
-    path = F.coalesce("root_path", F.when(unique, F.col("name_path")), F.when(own, F.col("source_file")))
-    status = F.when(path.isNotNull(), "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
+    files = files.where(extension(F.col("file")).isin(*LINKABLE)).select("file").distinct()
+    exact = files.groupBy(F.lower("file").alias("want")).agg(F.min("file").alias("root"))
+    target = F.col("target_file")
+    relative = target.rlike(r"^\.\.?/")
+    low = F.when(relative, F.lower(source_relative(target, F.col("source_file")))).otherwise(F.lower(target))
+    todo = links.withColumns({"_low": low, "_relative": relative, "_slash": target.contains("/")})
+    ext = extension(F.coalesce("_low", F.lit("")))
+    todo = todo.withColumn("_typed", ext.isin(*LINKABLE)).withColumn("_open", (target != "") & F.col("_low").isNotNull() & (F.col("_typed") | (ext == "")))
+    tries = F.when(F.col("_typed"), F.array(F.struct(F.lit(0).alias("nth"), F.col("_low").alias("want")))).otherwise(F.array(*[F.struct(F.lit(i).alias("nth"), F.concat("_low", F.lit(f".{e}")).alias("want")) for i, e in enumerate(LINKABLE)]))
+    wanted = todo.where("_open and (_slash or _typed)").select(key, F.explode(tries).alias("t")).select(key, "t.*")
+    root = wanted.join(exact, "want").groupBy(key).agg(F.min(F.struct("nth", "root")).alias("b")).select(key, F.col("b.root").alias("_root"))
+    bare = F.when(F.col("_typed"), F.regexp_replace("_low", r"\.[^./]*$", "")).otherwise(F.col("_low"))
+    names = todo.where("_open and not _relative").select(key, F.col("_slash").alias("slash"), F.when(F.col("_slash"), F.col("_low")).otherwise(bare).alias("key"), (F.col("_slash") & F.col("_typed")).alias("typed"))
+    by_name = names.join(_suffix_keys(files), ["key", "typed"]).select(key, F.when(F.col("slash"), F.col("n")).otherwise(F.col("n_least")).alias("_n"), F.when(F.col("slash"), F.col("path")).otherwise(F.col("least_path")).alias("_name"))
+    out = todo.join(root, key, "left").join(by_name, key, "left")
+    own = (target == "") & (F.coalesce(F.col("target_heading").rlike(r"[^\s>]"), F.lit(False)) | F.col("target_block").isNotNull())
+    path = F.coalesce("_root", F.when(F.col("_n") == 1, F.col("_name")), F.when(own, F.col("source_file")))
+    status = F.when(path.isNotNull(), "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("unresolved")
     return out.select(*links.columns, status.alias("status"), F.when(status == "resolved", path).alias("path"))
 
 
@@ -95,14 +100,36 @@ def backlinks(resolved: DataFrame, file: str) -> DataFrame:
     return resolved.where((F.col("path") == file) & (F.col("source_file") != file))
 
 
+def heading_path(heading):
+    """The segments of ``A > B`` as a target writes it, white space collapsed, empty ones left out."""
+    parts = F.transform(F.split(heading, HEADING_SPLIT), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\\([>›\\])", "$1"), r"\s+", " ")))
+    return F.filter(parts, lambda x: x != "")
+
+
 def resolve_headings(links: DataFrame, headings: DataFrame, key: str = "link_id") -> DataFrame:
-    """The first heading of the target file with the linked text, and whether it is the only one."""
-    want = links.where("path is not null and target_heading is not null").select(key, "path", F.lower("target_heading").alias("want"))
-    have = headings.select(F.col("file").alias("path"), F.lower("heading_text").alias("want"), "stable_id", "pos")
-    hit = want.join(have, ["path", "want"]).groupBy(key).agg(F.min(F.struct("pos", "stable_id")).alias("h"), F.count(F.lit(1)).alias("n"))
+    """The first heading of the target file with the linked text, and whether it is the only one.
+
+    Several segments (``A > B``) ask for the heading of exactly that path, where ``headings`` has
+    ``heading_path``; a single one for any heading of that text.
+    """
+    parts = heading_path(F.col("target_heading"))
+    want = F.when(F.size(parts) > 1, F.concat(F.lit("p:"), F.to_json(parts))).otherwise(F.concat(F.lit("t:"), F.lower(F.element_at(parts, 1))))
+    asked = links.where("path is not null and target_heading is not null").where(F.size(parts) > 0).select(key, "path", want.alias("want"))
+    have = headings.select(F.col("file").alias("path"), F.concat(F.lit("t:"), F.lower("heading_text")).alias("want"), "stable_id", "pos")
+    if "heading_path" in headings.columns:
+        have = have.unionByName(headings.select(F.col("file").alias("path"), F.concat(F.lit("p:"), F.to_json("heading_path")).alias("want"), "stable_id", "pos"))
+    have = have.groupBy("path", "want").agg(F.min(F.struct("pos", "stable_id")).alias("h"), F.count(F.lit(1)).alias("n"))
+    hit = asked.join(have, ["path", "want"]).select(key, "h", "n")
     return links.join(hit, key, "left").select(*links.columns, F.col("h.stable_id").alias("target_stable_id"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("duplicate_heading"))
 
 
+def resolve_blocks(links: DataFrame, blocks: DataFrame, key: str = "link_id") -> DataFrame:
+    """The heading that holds the linked block (the first of its name), as ``block_stable_id``."""
+    first = blocks.groupBy(F.col("file").alias("path"), F.col("block_id").alias("target_block")).agg(F.min(F.struct("range_start", "stable_id")).alias("b"))
+    hit = links.where("path is not null and target_block is not null").select(key, "path", "target_block").join(first, ["path", "target_block"]).select(key, F.col("b.stable_id").alias("block_stable_id"))
+    return links.join(hit, key, "left").select(*links.columns, "block_stable_id")
+
+
 def expand(embeds: DataFrame, source: str, max_depth: int = 10) -> DataFrame:
     """(target, depth, outcome) of the embeds reachable from a file; cycles end a path.
 

@@ -110,7 +110,8 @@ def wikilinks(source: str, start: int, end: int, excluded: list[tuple[int, int]]
         target, _, alias = m.group(2).partition("|")
         target = re.sub(r"\s*#\s*", "#", unicodedata.normalize("NFC", target.strip()))
         lead = "./" if target.startswith("./") else ""
-        target = lead + re.sub(r"(?<![^/])\./", "", target)
+        target = re.sub(r"(?<![^/])\./", "", target)
+        target = target if target.startswith("../") else lead + target
         out.append({"raw_target": target, "lc_raw_target": target.lower(), "is_embed": bool(m.group(1)), "alias": alias.strip() or None, "link_text": m.group()})
     return out
 

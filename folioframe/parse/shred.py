@@ -78,8 +78,11 @@ def rows_of(parsed: Parsed, file: str) -> tuple[list[dict], list[dict], list[dic
     return frags, found, blocks
 
 
-def shred_one(file: str, content: bytes | None, mtime: float | None) -> dict:
-    out = {"file": file, "kind": None, "error": None, "fields": "{}", "tags": [], "created": None, "updated": None, "mtime": mtime, "size": len(content or b""), "fragments": [], "links": [], "blocks": []}
+def shred_one(file: str, content: bytes | None, mtime: float | None, size: int | None = None, error: str | None = None) -> dict:
+    """A file's row; one that its reader couldn't give has the reader's error and size."""
+    out = {"file": file, "kind": None, "error": error, "fields": "{}", "tags": [], "created": None, "updated": None, "mtime": mtime, "size": len(content or b"") if size is None else size, "fragments": [], "links": [], "blocks": []}
+    if error is not None:
+        return out
     try:
         if content is not None and len(content) > MAX_BYTES:
             raise ParseError("too_large")
@@ -108,11 +111,17 @@ def shred(files: DataFrame) -> DataFrame:
     """
     ship(files.sparkSession)
 
+    extra = [c for c in ("size", "error") if c in files.columns]  # as the vault's reader gives them
+
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([shred_one(f, bytes(c) if c is not None else None, m) for f, c, m in zip(pdf["file"], pdf["content"], pdf["mtime"])], columns=["file", "kind", "error", "fields", "tags", "created", "updated", "mtime", "size", "fragments", "links", "blocks"])
+            none = [None] * len(pdf)
+            size = [None if pd.isna(x) else int(x) for x in pdf["size"]] if "size" in extra else none
+            error = [x if isinstance(x, str) else None for x in pdf["error"]] if "error" in extra else none
+            rows = zip(pdf["file"], pdf["content"], pdf["mtime"], size, error)
+            yield pd.DataFrame([shred_one(f, bytes(c) if c is not None else None, m, n, e) for f, c, m, n, e in rows], columns=["file", "kind", "error", "fields", "tags", "created", "updated", "mtime", "size", "fragments", "links", "blocks"])
 
-    return files.select("file", "content", "mtime").mapInPandas(run, SCHEMA)
+    return files.select("file", "content", "mtime", *extra).mapInPandas(run, SCHEMA)
 
 
 def tables(shredded: DataFrame) -> dict[str, DataFrame]:

@@ -38,10 +38,6 @@ def path_segments(path: str) -> list[str]:
     return parts
 
 
-def json_path(path: str) -> str:
-    return "$" + "".join(f"['{p}']" for p in path_segments(path))
-
-
 class _Field:
     """A value inside ``fields``: its text and its JSON type, from the VARIANT column."""
 
@@ -117,11 +113,13 @@ def _date(ops: dict) -> Column:
 
 
 def _within(f: _Field, value) -> Column:
-    """Exact membership: an element of an array, or the scalar itself."""
-    items = F.try_variant_get(f.v, "$", "array<string>")
-    text = json.dumps(value) if isinstance(value, bool) else str(value)
-    in_array = F.coalesce(F.array_contains(items, text), F.lit(False))
-    return F.when(f.kind.startswith("ARRAY"), in_array).when(f.null | f.kind.startswith("OBJECT"), False).otherwise(F.coalesce(f.equals(value), F.lit(False)))
+    """Whether a string is an element of an array, or the value itself; numbers never equal strings."""
+    if not isinstance(value, str):
+        raise filter_error(f"a string is needed, not {value!r}")
+    iso = dates.canonical(value) or value
+    items = F.try_variant_get(f.v, "$", "array<variant>")
+    in_array = F.exists(items, lambda x: (F.schema_of_variant(x) == "STRING") & (x.cast("string") == iso))
+    return F.when(f.kind.startswith("ARRAY"), F.coalesce(in_array, F.lit(False))).when(f.null | f.kind.startswith("OBJECT"), False).otherwise(F.coalesce(f.equals(value), F.lit(False)))
 
 
 def _field(path: str, ops: dict) -> Column:

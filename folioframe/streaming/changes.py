@@ -26,8 +26,3 @@ def follow(index: VaultIndex, checkpoint: str, available_now: bool = True) -> St
 
     writer = vault_changes(index.spark, index.vault).writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="250 milliseconds")).start()
-
-
-def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Changes by window and type; late ones are dropped by the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))

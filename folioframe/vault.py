@@ -69,18 +69,39 @@ class Vault:
         return links.resolve(links.parse_target(rows), self.index.table("frontmatter").select("file"))
 
     def get_links(self, file: str, direction: str = "both", stable_id: str | None = None) -> DataFrame:
-        """Incoming links, then outgoing ones, with their headings resolved."""
+        """Incoming links by source file and place, then outgoing ones by place, targets resolved."""
+        return self._links(file, direction, stable_id).orderBy("phase", "source_file", "pos")
+
+    def get_links_page(self, file: str, direction: str = "both", stable_id: str | None = None, page_size: int | None = None, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+        """A page of ``get_links`` and the next page's cursor."""
+        rows = self._links(file, direction, stable_id)
+        return self._page(rows, ["phase", "source_file", "pos"], paging.request_hash("links", file, direction, stable_id), page_size, cursor)
+
+    def _page(self, rows: DataFrame, names: list[str], request: str, page_size: int | None, cursor: str | None) -> tuple[DataFrame, str | None]:
+        """A page in the order of ``names``, which tell all rows apart; the cursor if more follow."""
+        snapshot, size = self.index.manifest["snapshot"], paging.clamp(page_size)
+        last = paging.decode(cursor, names[0], request, snapshot)["last"] if cursor else None
+        order = [(F.col(n), False) for n in names]
+        found = (rows if last is None else rows.where(paging.after(order, last))).orderBy(*names).limit(size + 1)
+        items = found.collect()  # a page and one row: MAX_PAGE + 1 at most
+        following = None
+        if len(items) > size:
+            items = items[:size]
+            following = paging.encode({"sort": names[0], "request_hash": request, "snapshot": snapshot, "last": [items[-1][n] for n in names]})
+        return self.index.spark.createDataFrame(items, found.schema), following
+
+    def _links(self, file: str, direction: str, stable_id: str | None) -> DataFrame:
         self._known(file)
         found = self.resolved_links()
-        heads = self.index.table("fragments").where("anchor_kind = 'heading'").select("file", "heading_text", "stable_id", "pos")
+        heads = self.index.table("fragments").where("anchor_kind = 'heading'").select("file", "heading_text", "heading_path", "stable_id", "pos")
         found = links.resolve_headings(found, heads).withColumn("embed_kind", F.when(F.col("is_embed"), links.embed_kind()))
+        found = links.resolve_blocks(found, self.index.table("blocks"))
         incoming = links.backlinks(found, file)
         if stable_id:
-            incoming = incoming.where(F.col("target_stable_id") == stable_id)
-        outgoing = found.where(F.col("source_file") == file)
-        parts = {"in": [incoming], "out": [outgoing], "both": [incoming, outgoing]}[direction]
-        out = parts[0].withColumn("phase", F.lit(0 if direction != "out" else 1))
-        return out.unionByName(parts[1].withColumn("phase", F.lit(1))) if len(parts) > 1 else out
+            incoming = incoming.where(F.coalesce("target_stable_id", "block_stable_id") == stable_id)
+        incoming = incoming.withColumn("phase", F.lit(0))
+        outgoing = found.where(F.col("source_file") == file).withColumn("phase", F.lit(1))
+        return {"in": incoming, "out": outgoing}.get(direction) if direction != "both" else incoming.unionByName(outgoing)
 
     def get_file_outline(self, file: str) -> DataFrame:
         self._known(file)
@@ -116,6 +137,13 @@ class Vault:
 
     def get_vault_tree(self, path: str = "", depth: int = 2) -> DataFrame:
         """Directories first, to a depth below ``path``, with counts of children and headings."""
+        return self._tree(path, depth).orderBy("dfs_rank")
+
+    def get_vault_tree_page(self, path: str = "", depth: int = 2, page_size: int | None = None, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+        """A page of ``get_vault_tree`` and the next page's cursor."""
+        return self._page(self._tree(path, depth), ["dfs_rank"], paging.request_hash("tree", path, depth), page_size, cursor)
+
+    def _tree(self, path: str, depth: int) -> DataFrame:
         self._ready()
         files = self.index.table("files").select("file")
         files = files.where(filters.scope("subtree", path)) if path else files
@@ -123,7 +151,7 @@ class Vault:
         rows = tree.ranked(files).where((F.col("depth") > base) & (F.col("depth") <= base + depth + 1))
         kids = tree.children(files).select(F.col("parent").alias("path"), "n_children")
         stats = self.index.table("metrics").select(F.col("file").alias("path"), "n_headings", "tokens")
-        return rows.join(kids, "path", "left").join(stats, "path", "left").withColumn("id", tree.tree_id(F.col("path"))).orderBy("dfs_rank")
+        return rows.join(kids, "path", "left").join(stats, "path", "left").withColumn("id", tree.tree_id(F.col("path")))
 
     def get_server_info(self) -> dict:
         m = self.index.manifest

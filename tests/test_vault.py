@@ -63,13 +63,22 @@ def test_relative_and_own_links(spark):
     """Targets from the source file's folder, and anchors of the source file itself."""
     from folioframe.operators import links
 
-    files = ["a.md", "x.md", "notes/x.md", "notes/a.md", "notes/Deep/y.yaml", "notes/d.png.md", "other/x.md", "z/q/x.md"]
+    files = ["a.md", "x.md", "notes/x.md", "notes/a.md", "notes/Deep/y.yaml", "notes/d.png.md", "other/x.md", "z/q/x.md", "b/only.md", "c/d/only.md", "b/twin.md", "c/twin.md"]
     want = {
         ("notes/a.md", "./x"): "notes/x.md",
         ("notes/a.md", "./X.md#Top"): "notes/x.md",
         ("notes/a.md", "../x"): "x.md",
         ("notes/a.md", "./deep/../x"): "notes/x.md",
-        ("notes/a.md", "./deep/y"): "notes/Deep/y.yaml",
+        ("notes/a.md", "./deep/y"): None,
+        ("notes/a.md", "./deep/y.yaml"): None,
+        ("a.md", "only.md"): "b/only.md",
+        ("a.md", "only"): "b/only.md",
+        ("a.md", "twin"): None,
+        ("a.md", "twin.md"): None,
+        ("a.md", "q/x.md"): "z/q/x.md",
+        ("a.md", "q/x.yaml"): None,
+        ("a.md", "d.png"): None,
+        ("a.md", "notes/d.png"): None,
         ("notes/Deep/y.yaml", "../../other/x#^b"): "other/x.md",
         ("notes/Deep/y.yaml", "../a"): "notes/a.md",
         ("a.md", "./x"): "x.md",
@@ -93,10 +102,56 @@ def test_relative_and_own_links(spark):
     assert {(r["source_file"], r["raw_target"]): r["path"] for r in found.collect()} == want
     assert found.where("(status = 'resolved') <> (path is not null)").count() == 0
     assert {r["source_file"] for r in links.backlinks(found, "notes/a.md").collect()} == {"notes/Deep/y.yaml"}
+    status = {r["raw_target"]: r["status"] for r in found.collect()}
+    assert status["twin"] == status["twin.md"] == "ambiguous" and status["d.png"] == "unresolved"
     heads = spark.createDataFrame([("notes/a.md", "Top", "h:1", 0)], "file string, heading_text string, stable_id string, pos int")
     assert {r["raw_target"] for r in links.resolve_headings(found, heads).where("target_stable_id = 'h:1'").collect()} == {"#Top"}
 
 
+def test_heading_paths_and_blocks(spark):
+    """``A > B`` asks for a path, a single segment for a text; a block leads to the heading that holds it."""
+    from folioframe.operators import links
+
+    targets = ["x#A > B", "x#B", "x#a", "x#A > C", "x#^b1", "x#^gone", "x# A  ›  B "]
+    rows = spark.createDataFrame([(i, "s.md", t) for i, t in enumerate(targets)], "link_id long, source_file string, raw_target string")
+    found = links.resolve(links.parse_target(rows), spark.createDataFrame([("x.md",)], "file string"))
+    heads = spark.createDataFrame([("x.md", "B", ["B"], "h:0", 0), ("x.md", "A", ["A"], "h:1", 1), ("x.md", "B", ["A", "B"], "h:2", 2)], "file string, heading_text string, heading_path array<string>, stable_id string, pos int")
+    blocks = spark.createDataFrame([("x.md", "b1", 9, "h:2"), ("x.md", "b1", 20, "h:0")], "file string, block_id string, range_start int, stable_id string")
+    got = {r["raw_target"]: (r["target_stable_id"], r["duplicate_heading"], r["block_stable_id"]) for r in links.resolve_blocks(links.resolve_headings(found, heads), blocks).collect()}
+    assert got == {"x#A > B": ("h:2", False, None), "x#B": ("h:0", True, None), "x#a": ("h:1", False, None), "x#A > C": (None, False, None), "x#^b1": (None, False, "h:2"), "x#^gone": (None, False, None), "x# A  ›  B ": ("h:2", False, None)}
+
+
+def test_pages(vault):
+    """Pages of links and of the tree, one after the other, are the whole in its order."""
+    for page, whole in ((lambda c: vault.get_links_page("notes/auth.md", page_size=1, cursor=c), vault.get_links("notes/auth.md")), (lambda c: vault.get_vault_tree_page("", 5, page_size=2, cursor=c), vault.get_vault_tree("", 5))):
+        rows, cursor = [], None
+        while True:
+            found, cursor = page(cursor)
+            rows += found.collect()
+            if cursor is None:
+                break
+        assert len(rows) > 1 and [tuple(r) for r in rows] == [tuple(r) for r in whole.select(found.columns).collect()]
+    with pytest.raises(VaultError):
+        vault.get_vault_tree_page("notes", 5, cursor=vault.get_vault_tree_page("", 5, page_size=2)[1])
+
+
+def test_reader_errors_are_kept(spark):
+    """A file that its reader couldn't give is a row with its error and size, and has no fragments."""
+    from folioframe.parse import shred
+
+    rows = spark.createDataFrame([("a.md", None, 1.0, 99, "too_large"), ("b.md", bytearray(b"# B\n"), 1.0, 4, None)], "file string, content binary, mtime double, size long, error string")
+    t = shred.tables(shred.shred(rows))
+    assert {(r["file"], r["error"], r["size"]) for r in t["files"].collect()} == {("a.md", "too_large", 99), ("b.md", None, 4)}
+    assert {r["file"] for r in t["fragments"].collect()} == {"b.md"}
+
+
+def test_written_targets():
+    from folioframe.parse.model import wikilinks
+
+    text = "[[./../target]] [[./x]] [[a/./b]] [[../y]]"
+    assert [x["raw_target"] for x in wikilinks(text, 0, len(text), [])] == ["../target", "./x", "a/b", "../y"]
+
+
 def test_search(vault):
     page, _ = vault.search("token")
     assert page.first()["file"] == "notes/auth.md" and "**" in page.first()["snippet"]
