@@ -36,8 +36,8 @@ RIDGE = 1e-2
 BINS = 400
 SEED = 7
 LOW, HIGH = -0.5, 1.5
-#: Partial sums left by each level of adding; the driver adds the last level's.
-LEVELS = (256, 16)
+#: Partial sums that one task or the driver adds, about; more are added in levels.
+FAN_IN = 16
 STATS = (
     "log_bytes", "log_words", "mean_word", "upper", "digit", "symbol", "bang", "pipe", "punct", "space",
     "newline", "high_bytes", "distinct", "top_word", "line_distinct", "words_per_line", "entropy", "caps_words",
@@ -134,9 +134,11 @@ def _normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray,
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "a": pa.array([a], pa.binary()), "b": pa.array([b], pa.binary())})
 
     sums = rows.select("x", "y").mapInArrow(run, "part long, a binary, b binary")
-    for n in LEVELS:
+    n = rows.rdd.getNumPartitions()  # a number of the plan; nothing runs
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
         sums = sums.withColumn("part", F.col("part") % n).groupBy("part").applyInArrow(add, "part long, a binary, b binary")
-    last = sums.collect()  # LEVELS[-1] rows at most
+    last = sums.collect()  # FAN_IN rows at most
     return added(bytes(r["a"]) for r in last).reshape(d, d), added(bytes(r["b"]) for r in last)
 
 

@@ -16,7 +16,7 @@ ran again leaves nothing behind that is read.
 
 Edge cases: null and empty pages have an empty payload and are responses; a null url is an
 empty target; a null id cannot be a revisit's target unless all ids of the payload are
-null, and is read back as null; rows that repeat the largest id are all responses; an empty
+null, and is read back as null; rows that repeat the largest id are all responses and share a record id; an empty
 table writes no archive; other columns are ignored.
 """
 
@@ -52,25 +52,42 @@ READ = T.StructType(
 )
 
 
+def record_id(page_id: int | None, digest: str, url: str) -> str:
+    """A page's record id: the same for a reader of any archive; a page without id goes by its content."""
+    name = f"page:{page_id}" if page_id is not None else f"content:{digest}|{url}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def http_block(payload: bytes) -> bytes:
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit carries its payload's length and digest, not the payload."""
-    block = payload if kind == "response" else b""
+    block = http_block(payload) if kind == "response" else b""
     clean = (url or "").replace("\r", " ").replace("\n", " ")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{clean}')}>",
+        f"WARC-Record-ID: {record_id(page_id, digest, clean)}",
         f"WARC-Target-URI: {clean}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
         f"X-Refers-To-Page: {'' if refers_to is None else refers_to}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        lines.insert(3, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        lines[3:3] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest, clean)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info_record(path: str) -> bytes:
+    """An archive's first record."""
+    block = b"format: WARC File Format 1.1\r\nsoftware: folioframe\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -162,7 +179,9 @@ def decided(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("rows"))
     several = large.where("rows > 1 and last is not null").select(F.col("digest").alias("_digest"), "last")
-    out = rows.join(several, rows["digest"] == several["_digest"], "left")
+    # Short payloads have no part in it: they are dealt by their row, however many are equal.
+    rows = rows.withColumn("_key", F.when(F.octet_length("html") >= MIN_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url", "digest").cast("string"))))
+    out = rows.join(several, rows["_key"] == several["_digest"], "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return out.select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("last")).alias("refers_to"))
 
@@ -180,12 +199,13 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(path)
                     writer = ArchiveWriter(out)
+                    writer.add(info_record(path))
                 page_id, url, html, digest, kind, refers_to = row
                 writer.add(record(page_id, url, html.encode(), digest, kind, refers_to))
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([writer.n], pa.int64())], names=["path", "n_records"])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([writer.n - 1], pa.int64())], names=["path", "n_records"])
 
     return common.staged(decided(pages).mapInArrow(run, "path string, n_records long"), "warc-names")
 
@@ -201,7 +221,10 @@ def read_archives(archives: DataFrame, folder_uri: str) -> DataFrame:
                     rows: list[tuple] = []
                     for rec in read_records(stream):
                         f, block = parse_record(rec)
+                        if f["WARC-Type"] == "warcinfo":
+                            continue
                         digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
+                        block = block.partition(b"\r\n\r\n")[2]  # without the HTTP headers
                         if f["WARC-Type"] == "response" and (hashlib.sha1(block).hexdigest() != digest or len(block) != int(f["X-Payload-Length"])):
                             raise ValueError(f"a payload of {path} doesn't match its digest")
                         rows.append((int(f["X-Page-ID"]) if f["X-Page-ID"] else None, int(f["X-Payload-Length"]), digest, f["WARC-Type"], int(f["X-Refers-To-Page"]) if f["X-Refers-To-Page"] else None))

@@ -246,6 +246,40 @@ def test_quality_classifier(spark, docs):
     assert n > 50 and right / n > 0.95
 
 
+def test_classifier_equals_a_plain_fit(spark, monkeypatch):
+    """Features, ridge weights and isotonic calibration against numpy over all rows at once, in one level or many."""
+    q = quality_classifier
+    d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    label = [(r["doc_id"], r["quality"]) for r in lab.collect() if r["quality"] is not None and r["doc_id"] in text]
+    part = lambda i: zlib.crc32(str(i).encode()) % 3
+    x = {i: np.array(q.statistics(t)) for i, t in text.items()}
+    known = [(x[i], y, part(i)) for i, y in label if part(i) != 1]
+    all_x = np.array([a for a, _, _ in known])
+    mean, scale = all_x.mean(0), np.maximum(all_x.std(0), 1e-3)
+    w, b = q._fourier()
+    z = lambda a: np.hstack([np.ones((len(a), 1)), np.sqrt(2 / q.N_FEATURES) * np.cos(np.clip((a - mean) / scale, -6, 6) @ w + b)])
+    fit = [(a, y) for a, y, p in known if p == 0]
+    zz, yy = z(np.array([a for a, _ in fit])), np.array([y for _, y in fit], dtype=float)
+    weights = np.linalg.solve(zz.T @ zz + q.RIDGE * np.eye(zz.shape[1]), zz.T @ yy)
+    held = [(a, y) for a, y, p in known if p == 2]
+    raw = z(np.array([a for a, _ in held])) @ weights
+    place = np.clip((raw - q.LOW) / (q.HIGH - q.LOW) * q.BINS, 0, q.BINS - 1).astype(int)
+    pools = []  # of neighbouring bins, until the means rise
+    for k in sorted(set(place)):
+        pools.append([[k], [y for (_, y), p in zip(held, place) if p == k]])
+        while len(pools) > 1 and np.mean(pools[-2][1]) >= np.mean(pools[-1][1]):
+            bins, ys = pools.pop()
+            pools[-1] = [pools[-1][0] + bins, pools[-1][1] + ys]
+    at = [q.LOW + (k + 0.5) * (q.HIGH - q.LOW) / q.BINS for bins, _ in pools for k in sorted({bins[0], bins[-1]})]
+    level = [(sum(ys) + 0.5) / (len(ys) + 1) for bins, ys in pools for _ in sorted({bins[0], bins[-1]})]
+    want = dict(zip(x, np.interp(z(np.array(list(x.values()))) @ weights, at, np.maximum.accumulate(level))))
+    for fan in (16, 2):
+        monkeypatch.setattr(q, "FAN_IN", fan)
+        got = {r["doc_id"]: r["score"] for r in q.score(d.repartition(7), lab).collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
 def test_classifier_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     rows = quality_classifier.score(odd, none).collect()
@@ -410,6 +444,18 @@ def test_warc_files(spark):
     rows = [(1, "u", big), (2, None, big), (3, "u\r\n", None), (4, "v", "short"), (5, "v", "short"), (None, "w", big), (6, "z", "é" * 600)]
     got = {r["page_id"]: r for r in warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))).collect()}
     assert got[1]["refers_to"] == 2 and got[2]["record_type"] == "response" and got[None]["refers_to"] == 2
+    import io
+
+    rec = warc.parse_record(warc.record(7, "u", b"x" * 2000, "d", "revisit", 9))[0]
+    assert rec["WARC-Refers-To"] == warc.parse_record(warc.record(9, "v", b"x" * 2000, "d", "response", None))[0]["WARC-Record-ID"]
+    out = io.BytesIO()
+    writer = warc.ArchiveWriter(out)
+    for r in (warc.info_record("p"), warc.record(1, "u", b"abc", "d", "response", None)):
+        writer.add(r)
+    writer.close()
+    assert out.getvalue()[:4] == b"\x5d\x2a\x4d\x18"
+    out.seek(0)
+    assert [warc.parse_record(r)[0]["WARC-Type"] for r in warc.read_records(out)] == ["warcinfo", "response"]
     assert got[3]["payload_bytes"] == 0 and got[4]["record_type"] == got[5]["record_type"] == "response" and got[6]["payload_bytes"] == 1200
 
 
