@@ -351,24 +351,28 @@ def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs:
     blocks, the likeliest first, and a pair whose members a confirmed link already connects
     is passed over. Neither pass emits pairs: members, then the links of a spanning forest.
     """
-    labelled = buckets.join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("load")).where("lo <> hi")
+    number = classes.select(F.col("node").alias("comp"), F.col("no").alias("comp_no"))
+    linked = comps.join(classes.select("node", "no"), "node").join(number, "comp").select("no", "comp_no")
+    labelled = buckets.join(linked, "no", "left").select("bucket", "no", F.coalesce("comp_no", "no").alias("comp"))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
+    rows = labelled.join(mixed, "bucket").join(classes.select("no", "n"), "no")
+    load = rows.groupBy("bucket").agg(F.sum("n").alias("load"), F.first("size").alias("size"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("load") * 8 / BLOCK_BYTES)).cast("int")
-    rows = labelled.join(mixed.select("bucket", blocks.alias("blocks")), "bucket")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select("bucket", "no", "comp").join(load.select("bucket", blocks.alias("blocks")), "bucket")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "node", "comp", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    sketch = classes.select("node", "n", "regs", "bands")
+    rows = rows.select("bucket", "no", "comp", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    sketch = classes.select("no", "node", "n", "regs", "bands")
 
     def likely(key, table):
         ii, jj, _, _ = _candidates(key, table, threshold)
-        return table.take(pa.array(np.unique(np.r_[ii, jj]).astype(np.int64))).select(["bucket", "x", "y", "mine", "node", "comp"])
+        return table.take(pa.array(np.unique(np.r_[ii, jj]).astype(np.int64))).select(["bucket", "x", "y", "mine", "no", "comp"])
 
-    members = rows.join(sketch, "node").groupBy("bucket", "x", "y").applyInArrow(likely, "bucket long, x int, y int, mine int, node binary, comp binary")
+    members = rows.join(sketch.drop("node"), "no").groupBy("bucket", "x", "y").applyInArrow(likely, "bucket long, x int, y int, mine int, no long, comp long")
     members = common.staged(members, "dedup-members", FEW)
     if not members.take(1):
-        return common.staged(members.select(F.col("node").alias("a"), F.col("node").alias("b")), "dedup-more", FEW)
-    used = members.select("node").distinct().join(classes.select("node", "rep", "cls"), "node")
+        return common.staged(members.select(F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b")).where(F.lit(False)), "dedup-more", FEW)
+    used = members.select("no").distinct().join(classes.select("no", "node", "rep", "cls"), "no").select("node", "rep", "cls")
     sets = common.staged(_sets(docs, used, id_col, text_col), "dedup-sets")
 
     def confirmed(key, table):
@@ -396,7 +400,7 @@ def _mixed_links(buckets: DataFrame, comps: DataFrame, classes: DataFrame, docs:
                     b.append(node[j].as_py())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    full = members.join(sketch, "node").join(sets, "node")
+    full = members.join(sketch, "no").join(sets, "node")
     out = common.staged(full.groupBy("bucket", "x", "y").applyInArrow(confirmed, "a binary, b binary"), "dedup-more", FEW)
     common.discard(members, sets)
     return out
@@ -407,16 +411,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tup
     sk = common.staged(sketches(docs, id_col, text_col, band_rows(threshold)), "dedup-sketch")
     # Documents of a class have the same words, so any one's sketch will do.
     classes = sk.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "bands", "regs")])
-    classes = common.staged(classes.withColumn("node", node_key(F.col("rep"), F.col("cls"))), "dedup-classes")
-    buckets = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    # Short numbers stand for the keys in the buckets; being written, they don't change.
+    classes = classes.withColumn("node", node_key(F.col("rep"), F.col("cls"))).withColumn("no", F.monotonically_increasing_id())
+    classes = common.staged(classes, "dedup-classes")
+    buckets = classes.select("no", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = common.staged(buckets.join(sizes, "bucket"), "dedup-buckets")
-    popular = buckets.groupBy("node").agg(F.sum("size").alias("pop"))
-    hubs = buckets.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("pop", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
-    pairs = buckets.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    sketch = classes.select("node", "n", "regs")
-    pairs = pairs.join(sketch.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
-    pairs = pairs.join(sketch.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
+    popular = buckets.groupBy("no").agg(F.sum("size").alias("pop"))
+    hubs = buckets.join(popular, "no").groupBy("bucket").agg(F.max(F.struct("pop", "no")).alias("top")).select("bucket", F.col("top.no").alias("hub"))
+    pairs = buckets.join(hubs, "bucket").where("no <> hub").select(F.least("no", "hub").alias("x"), F.greatest("no", "hub").alias("y")).distinct()
+    pairs = pairs.join(classes.select(F.col("no").alias("x"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "x")
+    pairs = pairs.join(classes.select(F.col("no").alias("y"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "y")
     pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
     stars = common.staged(_likely(pairs, threshold), "dedup-stars", FEW)
     used = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct().join(classes.select("node", "rep", "cls"), "node")
@@ -424,7 +429,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tup
     links = common.staged(_confirm(stars, sets, threshold), "dedup-links", FEW)
     common.discard(stars, sets)
     comps = components(links)
-    more = _mixed_links(buckets.select("bucket", "node", "n"), comps, classes, docs, id_col, text_col, threshold)
+    more = _mixed_links(buckets.select("bucket", "no"), comps, classes, docs, id_col, text_col, threshold)
     if more.take(1):
         first, comps = comps, components(links.unionByName(more))
         common.discard(first)
