@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept;
 its output is written as Parquet and read back as the next stage's ``docs``.
+
+Edge cases, in every stage: a null text is an empty one (it stays null where rows go through); a null
+id is a value like others, without a label, and names a group of near copies only if the group has no
+other; empty texts fail the rules of stage 2, and where it doesn't run they are linked with nothing,
+hold no personal data and pack as one separator token; texts of any length are taken whole; of rows that
+repeat id and words near duplicates keep one, other stages treat each by itself; ties go to the smaller id, then
+to the smaller key of the words; an empty table gives an empty table; extra columns go through
+the first four stages unchanged, whatever their names, and the last ignores them.
 """
 
 from __future__ import annotations

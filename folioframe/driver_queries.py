@@ -358,7 +358,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.parse_target(rows.select("link_id", "source_file", F.concat(raw, anchor).alias("raw_target")))
 
 
-_EDGES = f"""
+_EDGES = rf"""
 p AS (SELECT page_id, regexp_replace({_PATH}, '[.]html$', '') AS f FROM pages),
 files AS (SELECT DISTINCT f || '.md' AS path FROM p),
 s AS (SELECT page_id, f, string_split(f, '/') AS x FROM p),
