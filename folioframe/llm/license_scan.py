@@ -7,9 +7,9 @@ lower-cased, runs of letters, digits and ``+ . -``). Multinomial logistic regres
 licence family a score; the weights are trained here on drawn variants of the families' phrases
 and on prose, and most n-grams weigh nothing, so the model is a table of a few thousand rows at
 most (MAX_WEIGHTS). An "unknown" class takes paragraphs that look like no family; the
-probability that a family needs is set on drawn paragraphs held out of training and on real ones:
-a bounded sample (CALIBRATION) of the table's own candidate paragraphs, those that hold nearly
-all or few of a template's n-grams. A prediction is confirmed by comparison with the family's
+probability that a family needs is set on drawn paragraphs held out of training and on all real
+ones: every different candidate paragraph of the table that holds nearly all or few of a
+template's n-grams, counted by the executors at each probability of STEPS. A prediction is confirmed by comparison with the family's
 templates: the share of a template's n-grams that the paragraph holds must reach TEMPLATE_SHARE.
 Of found paragraphs that overlap, the one of fewest lines counts, then the first.
 
@@ -44,10 +44,11 @@ MAX_WEIGHTS = 5000
 #: Lines of a paragraph at most, and characters that the lines of a longer one than a line give.
 LINES = 3
 PART = 240
-#: Paragraphs of the table that set the threshold, about.
-CALIBRATION = 2000
 TEMPLATE_SHARE = 0.6
 PRECISION = 0.99
+#: Probabilities that may become the threshold; STRICT is taken if none is precise enough.
+STEPS = (0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9)
+STRICT = 0.95
 SEED = 5
 #: Families and phrases of public licences; ``{v}`` is a version.
 TEMPLATES = {
@@ -170,14 +171,18 @@ def train(n: int = 3000, seed: int = SEED, epochs: int = 150) -> tuple[dict[str,
     return weights, [round(float(v), 6) for v in b], held
 
 
-def threshold(sample: list[tuple[float, bool]]) -> float:
-    """The least probability from which PRECISION of the predictions of held-out and sampled paragraphs are right."""
-    both = [*train()[2], *sample]
-    for t in (0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9):
-        right = [ok for p, ok in both if p >= t]
-        if right and sum(right) >= PRECISION * len(right):
+def threshold(counts: list[tuple[int, int]]) -> float:
+    """The least of STEPS from which PRECISION of the predictions of held-out and counted paragraphs are right.
+
+    ``counts``: the table's paragraphs from each step on, and how many of them are right.
+    """
+    held = train()[2]
+    for t, (n, n_right) in zip(STEPS, counts, strict=True):
+        drawn = [ok for p, ok in held if p >= t]
+        n, n_right = n + len(drawn), n_right + sum(drawn)
+        if n and n_right >= PRECISION * n:
             return t
-    return 0.95
+    return STRICT
 
 
 def words(line: Column) -> Column:
@@ -265,16 +270,17 @@ def scored(found: DataFrame) -> DataFrame:
     return out.select(*keys, "paragraph", "family", "probability", F.round(F.coalesce(F.array_max(share), F.lit(0.0)), 6).alias("template_share"))
 
 
-def calibration(rows: DataFrame) -> list[tuple[float, bool]]:
-    """(probability, is right) of about CALIBRATION scored paragraphs, chosen by a hash of their text.
+def calibration(rows: DataFrame) -> list[tuple[int, int]]:
+    """For each of STEPS, the different scored paragraphs from it on, and how many of them are right.
 
     Those that hold most of a template of the family are right, those that hold little are wrong;
-    the ones between say nothing.
+    the ones between say nothing. Every paragraph of the table is counted, copies once.
     """
     clear = rows.where("template_share >= 0.9 or template_share < 0.3")
-    clear = clear.select(F.xxhash64("paragraph").alias("h"), "probability", (F.col("template_share") >= 0.9).alias("right")).dropDuplicates(["h"])
-    every = -(-clear.count() // CALIBRATION)
-    return [(r["probability"], r["right"]) for r in clear.where(F.pmod("h", F.lit(max(every, 1))) == 0).collect()]
+    clear = clear.select(F.sha2("paragraph", 256).alias("h"), "probability", (F.col("template_share") >= 0.9).alias("right")).dropDuplicates(["h"])
+    counts = [x for t in STEPS for above in [F.col("probability") >= t] for x in (F.count_if(above), F.count_if(above & F.col("right")))]
+    got = clear.agg(*counts).first()
+    return list(zip(got[::2], got[1::2]))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -538,6 +538,19 @@ def test_license_triggers_lose_nothing(spark):
     assert {i: sorted(x) for i, x in got.items() if x} == {i: x for i, t in rows if (x := brute_licenses(t, least))}
 
 
+def test_license_threshold_counts_all(spark):
+    """The threshold is that of all clear paragraphs, also where a third of them, by hash, are all right."""
+    rows = spark.range(5000).selectExpr("concat('paragraph ', id) AS paragraph").withColumn("template_share", F.when(F.pmod(F.xxhash64("paragraph"), F.lit(3)) == 0, 1.0).otherwise(0.0))
+    rows = rows.withColumn("probability", F.when(F.col("template_share") == 1, 0.97).otherwise(0.62))
+    between = spark.range(5000).selectExpr("concat('between ', id) AS paragraph", "0.5D AS template_share", "0.97D AS probability")
+    rows = rows.union(rows).union(between)
+    clear = {r["paragraph"]: (r["probability"], r["template_share"] >= 0.9) for r in rows.collect() if not 0.3 <= r["template_share"] < 0.9}
+    both = [*license_scan.train()[2], *clear.values()]
+    want = next((t for t in license_scan.STEPS if (right := [ok for p, ok in both if p >= t]) and sum(right) >= license_scan.PRECISION * len(right)), license_scan.STRICT)
+    assert license_scan.threshold(license_scan.calibration(rows)) == want == 0.65
+    assert license_scan.threshold(license_scan.calibration(rows.where("false"))) < 0.65
+
+
 def test_media(spark):
     rng = random.Random(1)
     v = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(6)]
