@@ -15,7 +15,9 @@ Search: queries are the rows whose id is divisible by EVERY, against all rows. R
 with equal fingerprints are one class and only classes are compared, so many copies of one
 recording cost one comparison. The asked classes meet all classes in blocks of about
 BLOCK_BYTES of fingerprints: a pair of blocks counts the votes by pair and offset, MOST_VOTES at
-once, and returns matches alone. No integer is left out, however common. The work is that of a
+once, and returns matches alone. Only votes at offsets where half of the shorter one may overlap
+are made, by look-up of value and position, and a pair's bits are compared until there are more
+errors than a match may have. No integer is left out, however common. The work is that of a
 stated query set against all rows: it grows with their product. On 10 256 recordings the votes
 find 99 % of the pairs whose bit error rate is MAX_BER at most where neither is moved.
 
@@ -27,6 +29,7 @@ repeated rows; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +48,14 @@ MAX_BER = 0.30
 MIN_VOTES = 4
 #: What must agree for a vote: the two bits of each of ten neighbouring filters.
 MASKS = tuple(sum(3 << (2 * i) for i in range(k, k + 10)) for k in (0, 3, 6))
-#: Pairs and offsets counted in one array; more are sorted instead, with the same counts.
-MOST_BINS = 1 << 20
-#: Bytes of fingerprints in a block, and votes (or compared integers) held at once.
-BLOCK_BYTES = 1 << 18
-MOST_VOTES = 1 << 21
+#: Pairs and offsets counted in one array, where votes are no rarer than one in RARE of them; else
+#: the votes are sorted, with the same counts.
+MOST_BINS, RARE = 1 << 18, 3
+#: Bytes of fingerprints in a block, votes (or compared integers) held at once, and integers of a
+#: pair compared before those beyond the most bit errors are given up.
+BLOCK_BYTES = 1 << 19
+MOST_VOTES = 1 << 17
+STEP = 32
 #: Filters: (kind, first class, classes, frames); kinds compare halves of the rectangle.
 FILTERS = (
     ("low_high", 0, 6, 8), ("low_high", 4, 8, 6), ("low_high", 2, 4, 4), ("low_high", 6, 6, 8),
@@ -57,6 +63,8 @@ FILTERS = (
     ("cross", 0, 6, 8), ("cross", 6, 6, 8), ("cross", 3, 6, 4), ("cross", 0, 12, 6),
     ("middle", 0, 9, 6), ("middle", 3, 9, 6), ("middle", 0, 6, 8), ("middle", 6, 6, 8),
 )
+#: Frames whose filters are computed at once, if not of one recording.
+TOGETHER = 1 << 12
 #: Quantisation limits of the filters' log ratios, and the two bits of each level.
 LIMITS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
@@ -96,20 +104,18 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     return energy / (energy.sum(1, keepdims=True) + 1e-9)
 
 
-def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """One packed integer for each position of a span of frames."""
-    c = chroma(samples)
-    n = len(c) - SPAN + 1
+def packed(chromas: np.ndarray) -> np.ndarray:
+    """The integers of recordings of equally many frames: (recordings, frames, classes) to (recordings, positions)."""
+    n = chromas.shape[1] - SPAN + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint32)
-    image = np.zeros((len(c) + 1, CLASSES + 1))
-    image[1:, 1:] = c.cumsum(0).cumsum(1)
+        return np.zeros((len(chromas), 0), dtype=np.uint32)
+    image = np.zeros((CLASSES + 1, len(chromas), chromas.shape[1] + 1))
+    image[1:, :, 1:] = chromas.cumsum(1).cumsum(2).transpose(2, 0, 1)
 
     def area(t0, t1, k0, k1):
-        at = np.arange(n)
-        return image[at + t1, k1] - image[at + t0, k1] - image[at + t1, k0] + image[at + t0, k0]
+        return image[k1, :, t1 : t1 + n] - image[k1, :, t0 : t0 + n] - image[k0, :, t1 : t1 + n] + image[k0, :, t0 : t0 + n]
 
-    out = np.zeros(n, dtype=np.uint32)
+    out = np.zeros((len(chromas), n), dtype=np.uint32)
     for i, (kind, k, h, w) in enumerate(FILTERS):
         if kind == "low_high":
             a, b = area(0, w, k, k + h // 2), area(0, w, k + h // 2, k + h)
@@ -121,11 +127,33 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         else:
             third = h // 3
             a, b = area(0, w, k + third, k + 2 * third) * 2, area(0, w, k, k + third) + area(0, w, k + 2 * third, k + h)
-        level = np.searchsorted(LIMITS, np.log1p(a) - np.log1p(b))
+        ratio = np.log1p(a) - np.log1p(b)
+        level = 3 - sum((ratio <= x).astype(np.int8) for x in LIMITS)
         out |= GRAY[level] << np.uint32(2 * i)
     return out
 
 
+def fingerprint(samples: np.ndarray) -> np.ndarray:
+    """One packed integer for each position of a span of frames."""
+    return packed(chroma(samples)[None])[0]
+
+
+def fingerprint_all(sounds: list[np.ndarray]) -> list[np.ndarray]:
+    """The fingerprint of each recording; the filters run over those of equal length together."""
+    images = [chroma(x) for x in sounds]
+    alike: dict[int, list[int]] = {}
+    for i, c in enumerate(images):
+        alike.setdefault(len(c), []).append(i)
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(sounds)
+    for length, which in alike.items():
+        step = max(1, TOGETHER // max(length, 1))
+        for lo in range(0, len(which), step):
+            part = which[lo : lo + step]
+            for i, fp in zip(part, packed(np.stack([images[i] for i in part]))):
+                out[i] = fp
+    return out
+
+
 def fingerprints(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", audio: bool = False) -> DataFrame:
     """id and fingerprint (``fp`` array of integers, ``raw`` their four bytes each) of every row's recording.
 
@@ -136,9 +164,9 @@ def fingerprints(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                prints = [fingerprint(sound(v)) for v in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, 32):
+                part = batch.slice(lo, 32)
+                prints = fingerprint_all([sound(v) for v in part.column(1).to_pylist()])
                 raw = pa.array([p.astype("<u4").tobytes() for p in prints], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.astype(np.int64) for p in prints], pa.list_(pa.int64())), raw], names=["id", "fp", "raw"])
 
@@ -202,50 +230,89 @@ class Prints:
         self.owner, self.pos = np.repeat(np.arange(len(self.sizes)), self.sizes), _runs(self.sizes)
 
 
-def _votes(asks: Prints, all_: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ask, class, offset) with MIN_VOTES votes, of different classes that overlap by half of the shorter."""
-    back, width = int(all_.sizes.max()), int(all_.sizes.max() + asks.sizes.max())
+def _votes(asks: Prints, all_: Prints) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ask, class, offset) with MIN_VOTES votes, of different classes that overlap by half of the shorter; in parts."""
+    # Offsets at which a recording of each size may overlap some class of the block by half of the shorter.
+    short, long = int(all_.sizes.min()), int(all_.sizes.max())
+    ahead = asks.sizes - (np.minimum(asks.sizes, short) + 1) // 2
+    behind = long - (np.minimum(asks.sizes, long) + 1) // 2
+    back = int(behind.max())
+    width = back + int(ahead.max()) + 1
     span = len(all_.no) * width
-    found, mine = all_.owner * width - all_.pos + back, asks.pos  # a vote's key is the sum of both
-    sides = []
-    for mask in MASKS:
-        ints = all_.ints & np.uint32(mask)
-        order = np.argsort(ints, kind="stable")
-        ints, ask = ints[order], asks.ints & np.uint32(mask)
-        first = np.searchsorted(ints, ask, "left")
-        sides.append((found[order], first, np.searchsorted(ints, ask, "right") - first))
-    total = sum(n for _, _, n in sides)
-    out = []
-    step = max(1, MOST_BINS // span)
-    slices = [(a, b) for lo, hi in _split(np.add.reduceat(total, asks.starts)) for a, b in ((k, min(k + step, hi)) for k in range(lo, hi, step))]
-    for lo, hi in slices:
-        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    kind = np.uint32 if len(asks.no) * span < 1 << 32 else np.int64
+    found = (all_.owner * width - all_.pos + back).astype(np.int64)  # a vote's key is the sum of both
+    # A class's integers stand by value and position, so those at a possible offset are neighbours.
+    bits = long.bit_length()
+    nearest = np.maximum(asks.pos - np.repeat(ahead, asks.sizes), 0)
+    farthest = np.minimum(asks.pos + np.repeat(behind, asks.sizes), long)
+    places, first, total = [], np.zeros((len(asks.ints), len(MASKS)), dtype=np.int64), np.zeros((len(asks.ints), len(MASKS)), dtype=np.int64)
+    for k, mask in enumerate(MASKS):
+        ints = (all_.ints & np.uint32(mask)).astype(np.int64) << bits | all_.pos
+        order = np.argsort(ints)
+        ints, ask = ints[order], (asks.ints & np.uint32(mask)).astype(np.int64) << bits
+        by = np.argsort(ask | asks.pos)  # neighbours are looked up after each other
+        first[by, k] = np.searchsorted(ints, (ask | nearest)[by], "left")
+        total[by, k] = np.searchsorted(ints, (ask | farthest)[by], "right")
+        places.append(found[order].astype(kind))
+    total -= first
+    first += np.arange(len(MASKS)) * len(all_.ints)
+    place = np.concatenate(places)
+    for lo, hi in _split(np.add.reduceat(total.sum(1), asks.starts)):
         begin, end = asks.starts[lo], asks.starts[hi - 1] + asks.sizes[hi - 1]
-        bins = (hi - lo) * span
-        sums = True if bins <= MOST_BINS else None  # the counts themselves, once there are some
-        for a, b in _split(total[begin:end]):  # more than one only where one recording has more votes
-            part = slice(begin + a, begin + b)
-            own = mine[part] + (asks.owner[part] - lo) * span
-            votes = []
-            for place, first, n in sides:
-                n = n[part]
-                at = np.repeat(first[part] - np.cumsum(n) + n, n)
-                at += np.arange(len(at))
-                votes.append(place[at] + np.repeat(own, n))
-            key = np.concatenate(votes)
-            if sums is not None:
-                sums = np.bincount(key, minlength=bins) if sums is True else sums + np.bincount(key, minlength=bins)
-                continue
-            key, count = np.unique(key, return_counts=True)
+        own = (asks.pos[begin:end] + (asks.owner[begin:end] - lo) * span).astype(kind)
+        own, starts, n = np.repeat(own, len(MASKS)), first[begin:end].ravel(), total[begin:end].ravel()
+        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        parts = _split(n) if n.sum() > MOST_VOTES else [(0, len(n))]
+        whole = len(parts) == 1  # more only where one recording has more votes
+        for a, b in parts:
+            m = n[a:b]
+            at = np.repeat(starts[a:b] - np.cumsum(m) + m, m)
+            at += np.arange(len(at))
+            key = place[at]
+            key += np.repeat(own[a:b], m)
+            bins = (hi - lo) * span
+            if bins <= MOST_BINS and bins <= RARE * len(key):
+                sums = np.bincount(key, minlength=bins)
+                key = np.flatnonzero(sums)
+                count = sums[key]
+            else:
+                key.sort()
+                if whole:  # the keys that stand MIN_VOTES times; of each more one is left for each more vote
+                    early = key[: max(0, len(key) - MIN_VOTES + 1)]
+                    key = early[key[MIN_VOTES - 1 :] == early]
+                ends = np.flatnonzero(np.concatenate([key[1:] != key[:-1], np.ones(min(len(key), 1), dtype=bool)]))
+                key, count = key[ends], np.diff(ends, prepend=-1) + (MIN_VOTES - 1) * whole
+            if whole:
+                keys, counts = key, count
+                break
             keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, count]), minlength=len(keys)).astype(np.int64)
-        keys = keys[counts >= MIN_VOTES] if sums is None else np.flatnonzero(sums >= MIN_VOTES)
+        keys = keys[counts >= MIN_VOTES].astype(np.int64)
         pair, off = keys // width, keys % width - back
-        out.append((lo + pair // len(all_.no), pair % len(all_.no), off))
-    q, c, off = (np.concatenate(x) for x in zip(*out))
-    n = np.minimum(asks.sizes[q], all_.sizes[c] + off) - np.maximum(0, off)
-    good = (asks.no[q] != all_.no[c]) & (2 * n >= np.minimum(asks.sizes[q], all_.sizes[c]))
-    return q[good], c[good], off[good]
+        q, c = lo + pair // len(all_.no), pair % len(all_.no)
+        n = np.minimum(asks.sizes[q], all_.sizes[c] + off) - np.maximum(0, off)
+        good = (asks.no[q] != all_.no[c]) & (2 * n >= np.minimum(asks.sizes[q], all_.sizes[c]))
+        yield q[good], c[good], off[good]
+
+
+#: Of STEP integers, those before the end of an overlap.
+_BEFORE = np.where(np.arange(STEP) < np.arange(STEP + 1)[:, None], np.uint32(0xFFFFFFFF), np.uint32(0))
+
+
+def _errors(windows: list[np.ndarray], a_from: np.ndarray, b_from: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Differing bits of n integers from each start in both blocks' windows of STEP; -1 beyond ``most``."""
+    bad, left = np.zeros(len(n), dtype=np.int64), np.arange(len(n))
+    for at in range(0, int(n.max(initial=0)), STEP):
+        size = n[left] - at
+        x = windows[0][a_from[left] + at]
+        x ^= windows[1][b_from[left] + at]
+        short = np.flatnonzero(size < STEP)
+        x[short] &= _BEFORE[np.maximum(size[short], 0)]
+        bad[left] += np.bitwise_count(x.view(np.uint64)).sum(1, dtype=np.uint16)
+        over = bad[left] > most[left]
+        bad[left[over]] = -1
+        left = left[~over & (size > STEP)]
+    return bad
 
 
 def matches(asks: Prints, all_: Prints) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -254,19 +321,20 @@ def matches(asks: Prints, all_: Prints) -> tuple[np.ndarray, np.ndarray, np.ndar
     Of a pair's offsets the one of the fewest bit errors counts, of several such the smallest, of
     two such the positive one.
     """
-    q, c, off = _votes(asks, all_)
-    lo, hi = np.maximum(0, off), np.minimum(asks.sizes[q], all_.sizes[c] + off)
-    n, bad = hi - lo, np.zeros(len(q), dtype=np.int64)
-    for a, b in _split(n):
-        part, step = slice(a, b), _runs(n[a:b])
-        left = np.repeat((asks.starts[q] + lo)[part], n[part]) + step
-        right = np.repeat((all_.starts[c] + lo - off)[part], n[part]) + step
-        bad[part] = np.add.reduceat(np.bitwise_count(asks.ints[left] ^ all_.ints[right]).astype(np.int64), np.cumsum(n[part]) - n[part])
-    good = np.flatnonzero(bad <= MAX_BER * 32 * n)
-    q, c, off, ber = q[good], c[good], off[good], np.round(bad[good] / (32 * n[good]), 6)
+    windows = [np.lib.stride_tricks.sliding_window_view(np.concatenate([x.ints, np.zeros(STEP, dtype=np.uint32)]), STEP) for x in (asks, all_)]
+    kept = []
+    for q, c, off in _votes(asks, all_):
+        lo, hi = np.maximum(0, off), np.minimum(asks.sizes[q], all_.sizes[c] + off)
+        n = hi - lo
+        for k in range(0, len(q), max(1, MOST_VOTES // STEP)):
+            part = slice(k, k + max(1, MOST_VOTES // STEP))
+            bad = _errors(windows, (asks.starts[q] + lo)[part], (all_.starts[c] + lo - off)[part], n[part], MAX_BER * 32 * n[part])
+            good = np.flatnonzero(bad >= 0)
+            kept.append((q[part][good], c[part][good], off[part][good], np.round(bad[good] / (32 * n[part][good]), 6)))
+    q, c, off, ber = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, dtype=np.int64),) * 4
     best = np.lexsort((-off, np.abs(off), ber, c, q))
     best = best[np.flatnonzero(np.diff(q[best] * len(all_.no) + c[best], prepend=-1))]
-    return asks.no[q[best]], all_.cls[c[best]], off[best], ber[best]
+    return asks.no[q[best]], all_.cls[c[best]], off[best], ber[best].astype(float)
 
 
 def match(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, audio: bool = False) -> DataFrame:

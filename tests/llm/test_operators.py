@@ -610,6 +610,37 @@ def test_media_blocks(spark, monkeypatch):
             assert [x.tolist() for x in media_fingerprint.matches(prints, prints)] == whole
 
 
+def test_media_work(monkeypatch):
+    """No vote is made where less than half would overlap, filters run once for equal lengths; the results are those of single ones."""
+    rng = random.Random(8)
+    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(20)]
+    vectors = [*base, *([x + rng.gauss(0, 0.1) for x in base[k]] for k in range(10)), *(v[:40] for v in base[:5]), None, [], [0.5]]
+    sounds = [media_fingerprint.render(v) for v in vectors]
+    alone = [media_fingerprint.fingerprint(x) for x in sounds]
+
+    def prints(fps):
+        no = list(range(len(fps)))
+        return media_fingerprint.Prints(pa.table({"no": [no], "cls": [no], "sizes": [[len(f) for f in fps]], "raw": [b"".join(f.astype("<u4").tobytes() for f in fps)]}))
+
+    votes, split = [], media_fingerprint._split
+    monkeypatch.setattr(media_fingerprint, "_split", lambda sizes: votes.append(int(sizes.sum())) or split(sizes))
+    list(media_fingerprint._votes(prints(alone[:30]), prints(alone[:30])))
+    monkeypatch.setattr(media_fingerprint, "_split", split)
+    size = len(alone[0])
+    near = abs(np.arange(size)[:, None] - np.arange(size)) * 2 <= size
+    x = np.array(alone[:30])
+    assert votes[0] == sum(int(((u[:, None] ^ v) & m == 0)[near].sum()) for u in x for v in x for m in map(np.uint32, media_fingerprint.MASKS))
+
+    calls, log1p = [], np.log1p
+    monkeypatch.setattr(np, "log1p", lambda x: calls.append(x.size) or log1p(x))
+    fps = media_fingerprint.fingerprint_all(sounds)
+    assert [f.tolist() for f in fps] == [f.tolist() for f in alone] and len(calls) == 2 * 2 * len(media_fingerprint.FILTERS)
+    fps = [f for f in fps if len(f)]
+    found = list(zip(*(x.tolist() for x in media_fingerprint.matches(prints(fps), prints(fps)))))
+    best = {i: (sum(q == i for q, *_ in found), *min(((ber, c, off) for q, c, off, ber in found if q == i), default=(None, None, None))) for i in range(len(fps))}
+    assert best == brute_matches(list(enumerate(fps)), 1)
+
+
 def test_media_recall(spark):
     """Of the pairs that brute force finds close without any vote, nine in ten or more are found; also by samples."""
     rng = np.random.default_rng(2)
