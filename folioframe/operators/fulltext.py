@@ -3,21 +3,27 @@
 Corpus statistics (rows, mean length, document frequencies) are taken over all fragments;
 scope and filters apply to scored rows, so they don't change scores.
 
-``Postings.build`` writes an inverted index: for each term, fragment and column the positions and
-the fragment's length, in buckets by the term's first letters, sorted by term inside. A query reads
-the buckets of its terms alone, and of them the row groups that hold the terms. ``bm25`` scores
-without an index, in one pass over the texts that counts inside each row.
+``Postings.build`` writes an inverted index in one pass and without an exchange: each task writes a
+segment, a file of its rows' words sorted by term, of which a query reads the pages that hold its
+terms. In a segment the rows lie in blocks (an Arrow batch each): a row for each block and term has
+the term's places, and one without a term has the block's ids and numbers of words. Places count
+on through a block, with a gap behind each column of a fragment, so a phrase's words are neighbours
+in it only where they are in the text. ``bm25`` scores without an index, in one pass over the texts that counts inside each row.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +34,7 @@ from folioframe.shipping import ship
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WEIGHTS = {"body": 2.0, "code": 0.5, "headings": 3.0}
 MAX_QUERY = 1024
-TOKEN = r"[\p{L}\p{N}_-]+"
-#: Buckets of an index, tasks that write a bucket, and the letters that choose it (a prefix has as many).
-BUCKETS, SALTS, LETTERS = 32, 4, 3
+TOKEN, BETWEEN = r"[\p{L}\p{N}_-]+", r"[^\p{L}\p{N}_-]+"
 
 
 def fold(text: str) -> str:
@@ -42,6 +46,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """The same words as ``tokens`` gives, with a space between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(BETWEEN), F.lit(" ")))
+
+
 @lru_cache(200_000)
 def root(word: str) -> str:
     """A folded and stemmed word; a worker remembers the words it has seen."""
@@ -130,12 +139,70 @@ def bm25(fragments: DataFrame, query: str, id_col: str = "frag_id", stem_words:
     return _scored(per, phrases, id_col, F.col("n_rows"), F.col("avgdl"), [F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avgdl")])
 
 
-def _minus(k: int):
-    return lambda x: x - k
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.crc32(F.substring(term, 1, LETTERS).cast("binary")), F.lit(BUCKETS)).cast("int")
+def _flat(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of spaced texts in a row, and how many each text has."""
+    words = pc.split_pattern(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts), " ")
+    return words.flatten().cast(pa.string()), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _inverted(stem_words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A block for each batch of (id, spaced texts): its directory, then its terms with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(b for b in batches if b.num_rows):
+            flat, number = zip(*[_flat(batch.column(c)) for c in WEIGHTS])
+            number = np.stack(number, axis=1)
+            starts = (np.cumsum(number + 1) - (number.ravel() + 1)).reshape(number.shape)
+            places = [np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum()) for at, n in zip(starts.T, number.T)]
+            found = pa.concat_arrays(flat).dictionary_encode()
+            terms, codes = found.dictionary, found.indices.to_numpy().astype(np.int64)
+            if stem_words:
+                roots = pa.array(map(root, terms.to_pylist()), pa.string()).dictionary_encode()
+                terms, codes = roots.dictionary, roots.indices.to_numpy().astype(np.int64)[codes]
+            both = np.sort(codes << 32 | np.concatenate(places))  # by term, then by place
+            codes, places = both >> 32, both & 0xFFFFFFFF
+            ends = np.cumsum(np.bincount(codes, minlength=len(terms)))
+            gaps = np.diff(places, prepend=0)  # from place to place; they take less than half the room
+            gaps[ends[:-1]] = places[ends[:-1]]
+            n = number.size
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.nulls(1, pa.string()), terms]),
+                    pa.array(np.full(len(terms) + 1, TaskContext.get().partitionId() << 32 | k)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0, n], n + ends]).astype(np.int32)), pa.array(np.concatenate([number.ravel(), gaps]).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(np.array([0, *[batch.num_rows] * (len(terms) + 1)], np.int32)), batch.column("id")),
+                ],
+                names=["term", "block", "gaps", "ids"],
+            )
+
+    return run
+
+
+def _counted(phrases: list[Phrase], id_col: str) -> Callable[[pa.Table], pa.Table]:
+    """(id, d, f0, f1, ..) of a block's rows that hold a phrase, from its directory and its terms' places."""
+    weights = np.array(list(WEIGHTS.values()))
+
+    def run(block: pa.Table) -> pa.Table:
+        terms = block["term"].to_pylist()
+        at = terms.index(None)
+        ids, values = block["ids"][at].values, [block["gaps"][i].values.to_numpy() for i in range(len(terms))]
+        number = values[at].astype(np.int64)
+        starts = np.cumsum(number + 1) - (number + 1)
+        d = number.reshape(-1, len(weights)).sum(axis=1)
+        counts = []
+        for p in phrases:
+            begins = None
+            for k, t in enumerate(p.terms):
+                star = p.prefix and k == len(p.terms) - 1
+                fit = [np.cumsum(v, dtype=np.int64) - k for v, x in zip(values, terms) if x is not None and (x.startswith(t) if star else x == t)]
+                here = np.concatenate(fit) if fit else np.array([], np.int64)
+                begins = here if begins is None else np.intersect1d(begins, here, assume_unique=True)
+            column = np.searchsorted(starts, begins, side="right") - 1
+            counts.append(np.bincount(column // len(weights), weights[column % len(weights)], len(d)))
+        kept = np.flatnonzero(np.any(counts, axis=0))
+        return pa.table({id_col: ids.take(pa.array(kept)), "d": pa.array(d[kept].astype(np.int32)), **{f"f{i}": pa.array(f[kept], pa.float64()) for i, f in enumerate(counts)}})
+
+    return run
 
 
 class Postings:
@@ -146,68 +213,37 @@ class Postings:
         about = spark.read.parquet(f"{folder}/about").first()
         self.n_rows, self.avgdl, self.stem_words, self.id_type = about["n_rows"], about["avgdl"], about["stem_words"], about["id_type"]
 
+    @staticmethod
+    def _schema(id_type: str) -> str:
+        return f"term string, block long, gaps array<int>, ids array<{id_type}>"
+
     @classmethod
     def build(cls, fragments: DataFrame, folder: str, id_col: str = "frag_id", stem_words: bool = False) -> Postings:
-        """Write the index of all fragments: one pass over the texts and one exchange of the words.
-
-        A bucket is written by SALTS tasks, each with its share of the fragments, so a frequent
-        term's postings are in several files.
-        """
+        """Write the index of all fragments in one pass over the texts."""
         spark = ship(fragments.sparkSession)
-        rows = _words(fragments.withColumnRenamed(id_col, "id"), "id", stem_words)
-
-        def places(c: str) -> Column:
-            return F.transform(f"w_{c}", lambda w, i: F.struct(F.lit(c).alias("col"), w.alias("term"), i.alias("pos")))
-
-        each = F.concat(*map(places, WEIGHTS))
-        words = rows.select("id", F.col("d").cast("int").alias("d"), F.explode(each).alias("w")).select("id", "d", "w.*")
-        words = words.withColumn("bucket", _bucket(F.col("term"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        words = words.repartition(BUCKETS * SALTS, "bucket", "salt")
-        grouped = words.groupBy("bucket", "salt", "term", "id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("d").alias("d"))
-        grouped = grouped.sortWithinPartitions("bucket", "term", "id").drop("salt")
-        grouped.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/postings")
-        total = spark.read.parquet(f"{folder}/postings").agg(F.sum(F.size("positions").cast("long")).alias("words"))
-        about = fragments.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(total)  # a row each
-        avgdl = F.when(F.col("n_rows") > 0, F.coalesce("words", F.lit(0)) / F.col("n_rows")).otherwise(0.0)
-        about.select("n_rows", avgdl.alias("avgdl"), F.lit(stem_words).alias("stem_words"), F.lit(rows.schema["id"].dataType.simpleString()).alias("id_type")).coalesce(1).write.parquet(f"{folder}/about")
+        rows = fragments.select(F.col(id_col).alias("id"), *[spaced(F.col(c)).alias(c) for c in WEIGHTS])
+        id_type = rows.schema["id"].dataType.simpleString()
+        blocks = rows.mapInArrow(_inverted(stem_words), cls._schema(id_type)).sortWithinPartitions("term", "block")
+        blocks.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/postings")
+        directory = spark.read.schema(cls._schema(id_type)).parquet(f"{folder}/postings").where("term is null")
+        words = F.aggregate("gaps", F.lit(0).cast("long"), lambda a, x: a + x)
+        about = directory.agg(F.coalesce(F.sum(F.size("ids").cast("long")), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(words), F.lit(0)).alias("words"))
+        avgdl = F.when(F.col("n_rows") > 0, F.col("words") / F.col("n_rows")).otherwise(0.0)
+        about.select("n_rows", avgdl.alias("avgdl"), F.lit(stem_words).alias("stem_words"), F.lit(id_type).alias("id_type")).coalesce(1).write.parquet(f"{folder}/about")
         return cls(spark, folder)
 
     def _read(self, phrases: list[Phrase]) -> DataFrame:
-        """The postings of the phrases' words, from their buckets."""
+        """The blocks' directories and the places of the phrases' words."""
         exact = sorted({t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)})
         prefixes = sorted({p.terms[-1] for p in phrases if p.prefix})
-        chosen = {zlib.crc32(t[:LETTERS].encode()) % BUCKETS for t in [*exact, *prefixes]}
-        if any(len(t) < LETTERS for t in prefixes):  # a stem may be shorter than the letters it was asked by
-            chosen = set(range(BUCKETS))
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        paths = [f"{self.folder}/postings/bucket={b}" for b in sorted(chosen)]
-        there = [p for p in paths if (at := fs.Path(p)).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)]
-        schema = f"term string, id {self.id_type}, col string, positions array<int>, d int"
-        rows = self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
-        wanted = [F.col("term").isin(exact)] * bool(exact) + [F.col("term").startswith(t) for t in prefixes]
-        return rows.where(reduce(lambda a, b: a | b, wanted))
+        wanted = [F.col("term").isNull()] + [F.col("term").isin(exact)] * bool(exact) + [F.col("term").startswith(t) for t in prefixes]
+        return self.spark.read.schema(self._schema(self.id_type)).parquet(f"{self.folder}/postings").where(reduce(lambda a, b: a | b, wanted))
 
     def search(self, query: str, id_col: str = "frag_id") -> DataFrame:
         """(id, score) of the fragments that hold all phrases of the query."""
         phrases = _phrases(query, self.stem_words)
         if not phrases:
             return self.spark.createDataFrame([], f"{id_col} {self.id_type}, score double")
-        rows = self._read(phrases)
-        weight = F.create_map(*[x for c, w in WEIGHTS.items() for x in (F.lit(c), F.lit(w))])[F.col("col")]
-        sums, names = [], []
-        for i, p in enumerate(phrases):
-            if len(p.terms) == 1:
-                sums.append(F.sum(F.when(_matches(F.col("term"), p, 0), F.size("positions") * weight).otherwise(0.0)).alias(f"f{i}"))
-                names.append(F.col(f"f{i}"))
-                continue
-            of = []
-            for c, w in WEIGHTS.items():
-                for k in range(len(p.terms)):  # where place k would put the phrase's beginning
-                    begins = F.transform(F.col("positions"), _minus(k))
-                    here = F.when((F.col("col") == c) & _matches(F.col("term"), p, k), begins)
-                    sums.append(F.flatten(F.collect_list(here)).alias(f"p{i}_{c}_{k}"))
-                both = reduce(F.array_intersect, [F.col(f"p{i}_{c}_{k}") for k in range(len(p.terms))])
-                of.append(F.size(both) * w)
-            names.append(reduce(lambda a, b: a + b, of).alias(f"f{i}"))
-        per = rows.groupBy("id").agg(F.first("d").alias("d"), *sums).select(F.col("id").alias(id_col), "d", *names)
+        schema = f"{id_col} {self.id_type}, d int, " + ", ".join(f"f{i} double" for i in range(len(phrases)))
+        per = self._read(phrases).groupBy("block").applyInArrow(_counted(phrases, id_col), schema)
         return _scored(per, phrases, id_col, F.lit(self.n_rows), F.lit(self.avgdl), [])

@@ -19,7 +19,7 @@ from folioframe.operators import diff, fulltext
 from folioframe.parse import shred
 from folioframe.sources.vault import read_vault
 
-SHAPE_VERSION = 2
+SHAPE_VERSION = 3
 TABLES = ("files", "frontmatter", "tags", "fragments", "links", "blocks", "metrics")
 HISTORY = "file string, stable_id string, heading_text string, heading_path array<string>, structural_path string, retired_at double"
 
