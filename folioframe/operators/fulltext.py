@@ -38,7 +38,7 @@ TOKEN, BETWEEN = r"[\p{L}\p{N}_-]+", r"[^\p{L}\p{N}_-]+"
 
 
 def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
 def tokens(text: Column) -> Column:

@@ -78,3 +78,19 @@ def test_matches_over_blocks_and_segments(spark, monkeypatch):
 def test_empty_index(spark, texts):
     index = _built(spark, texts.limit(0))
     assert (index.n_rows, index.avgdl, index.search("the").count()) == (0, 0.0, 0)
+
+
+def test_build_stems_a_word_once_in_a_block(monkeypatch):
+    """The stemmer sees a block's different words, not each of its words."""
+    import types
+
+    import pyarrow as pa
+
+    seen, known = [], fulltext.root
+    monkeypatch.setattr(fulltext, "root", lambda w: seen.append(w) or known(w))
+    monkeypatch.setattr(fulltext, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.record_batch({"id": [1, 2], "body": ["runs running " * 500 + "runs", "running"], "code": ["", "runs"], "headings": ["caf\u00e9s", ""]})
+    (block,) = fulltext._inverted(True)(iter([batch]))
+    assert sorted(seen) == ["caf\u00e9s", "running", "runs"]
+    assert block.column("term").to_pylist() == [None, "run", "cafe"]
+    assert [len(x) for x in block.column("gaps").to_pylist()] == [6, 1003, 1]
