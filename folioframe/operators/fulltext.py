@@ -8,7 +8,7 @@ segment, a file of its rows' words sorted by term, of which a query reads the pa
 terms. In a segment the rows lie in blocks (an Arrow batch each): a row for each block and term has
 the term's places, and one without a term has the block's ids and numbers of words. Places count
 on through a block, with a gap behind each column of a fragment, so a phrase's words are neighbours
-in it only where they are in the text. ``bm25`` scores without an index, in one pass over the texts that counts inside each row.
+in it only where they are in the text. ``bm25`` scores without an index, in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from folioframe.errors import query_error
 from folioframe.functions.porter import stem
 from folioframe.shipping import ship
+from folioframe.storage import staged
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WEIGHTS = {"body": 2.0, "code": 0.5, "headings": 3.0}
@@ -88,31 +89,15 @@ def sanitize(query: str) -> list[Phrase]:
     return out
 
 
-def _words(fragments: DataFrame, id_col: str, stem_words: bool) -> DataFrame:
-    """id, the words of each column, and their number ``d``."""
-    words = [tokens(F.col(c)) for c in WEIGHTS]
-    rows = fragments.select(id_col, *[(stemmed(w) if stem_words else w).alias(f"w_{c}") for c, w in zip(WEIGHTS, words)])
-    return rows.withColumn("d", reduce(lambda a, b: a + b, [F.size(f"w_{c}") for c in WEIGHTS]))
-
-
 def _phrases(query: str, stem_words: bool) -> list[Phrase]:
     found = sanitize(query)
     return [Phrase(tuple(root(t) for t in p.terms), p.prefix) for p in found] if stem_words else found
 
 
-def _matches(term: Column, p: Phrase, k: int) -> Column:
-    """Whether a word fits place k of a phrase."""
-    return term.startswith(p.terms[k]) if p.prefix and k == len(p.terms) - 1 else term == p.terms[k]
-
-
-def _in_row(words: Column, p: Phrase) -> Column:
-    """Occurrences of a phrase in an array of words."""
-    if len(p.terms) == 1:
-        return F.size(F.filter(words, lambda w: _matches(w, p, 0)))
-    last = len(p.terms) - 1
-    fits = lambda i: reduce(lambda a, b: a & b, [_matches(F.element_at(words, i - (last - k)), p, k) for k in range(last, -1, -1)])
-    places = F.when(F.size(words) > last, F.sequence(F.lit(last + 1), F.size(words))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, fits))
+def _in_text(words: Column, p: Phrase) -> Column:
+    """Occurrences of a phrase in words that each have a space before and behind; the words behind the first are only looked at, so occurrences may overlap."""
+    behind = "".join(f" {re.escape(t)}" for t in p.terms[1:]) + ("" if p.prefix else " ")
+    return F.regexp_count(words, F.lit(f" {re.escape(p.terms[0])}(?={behind})"))
 
 
 def _scored(per: DataFrame, phrases: list[Phrase], id_col: str, n_rows: Column, avgdl: Column, stats: list[Column]) -> DataFrame:
@@ -133,9 +118,16 @@ def bm25(fragments: DataFrame, query: str, id_col: str = "frag_id", stem_words:
     phrases = _phrases(query, stem_words)
     if not phrases:
         return fragments.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    rows = _words(fragments, id_col, stem_words)
-    f = [reduce(lambda a, b: a + b, [_in_row(F.col(f"w_{c}"), p) * w for c, w in WEIGHTS.items()]).alias(f"f{i}") for i, p in enumerate(phrases)]
-    per = rows.select(id_col, "d", *f)
+    rows = fragments.select(id_col, *[(stemmed(tokens(F.col(c))) if stem_words else spaced(F.col(c))).alias(c) for c in WEIGHTS])
+    if stem_words:
+        number, words = F.size, lambda w: F.array_join(w, " ")
+    else:
+        number, words = lambda w: F.when(w == "", 0).otherwise(F.length(w) - F.length(F.replace(w, F.lit(" "))) + 1), lambda w: w
+    d = reduce(lambda a, b: a + b, [number(F.col(c)) for c in WEIGHTS])
+    texts = {c: F.concat(F.lit(" "), words(F.col(c)), F.lit(" ")) for c in WEIGHTS}
+    f = [reduce(lambda a, b: a + b, [_in_text(texts[c], p) * w for c, w in WEIGHTS.items()]).alias(f"f{i}") for i, p in enumerate(phrases)]
+    # Staged, as both the counts and the scores read it: the texts are read once.
+    per = staged(rows.select(id_col, d.alias("d"), *f), "bm25")
     return _scored(per, phrases, id_col, F.col("n_rows"), F.col("avgdl"), [F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avgdl")])
 
 

@@ -94,3 +94,12 @@ def test_build_stems_a_word_once_in_a_block(monkeypatch):
     assert sorted(seen) == ["caf\u00e9s", "running", "runs"]
     assert block.column("term").to_pylist() == [None, "run", "cafe"]
     assert [len(x) for x in block.column("gaps").to_pylist()] == [6, 1003, 1]
+
+
+def test_unindexed_search_reads_the_texts_once(spark, texts):
+    reads = []
+    for run in (lambda: texts.write.format("noop").mode("overwrite").save(), lambda: fulltext.bm25(texts, 'w17 "of the"').collect()):
+        _, before = _moved(spark)
+        run()
+        reads.append(_moved(spark)[1] - before)
+    assert reads[1] < 1.5 * reads[0]
