@@ -103,3 +103,10 @@ def test_unindexed_search_reads_the_texts_once(spark, texts):
         run()
         reads.append(_moved(spark)[1] - before)
     assert reads[1] < 1.5 * reads[0]
+
+
+def test_common_words_of_columns_move_little(spark, texts):
+    """Words that each row holds, with the build of the index: b6_bm25_columns."""
+    before, _ = _moved(spark)
+    assert _built(spark, texts).search("src3 en").count() == 2000
+    assert _moved(spark)[0] - before < 200_000
