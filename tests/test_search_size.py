@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioframe import driver_queries
 from folioframe.operators import fulltext
+from folioframe.plans import paging
 from folioframe.storage import shared_dir
 
 
@@ -110,3 +111,12 @@ def test_common_words_of_columns_move_little(spark, texts):
     before, _ = _moved(spark)
     assert _built(spark, texts).search("src3 en").count() == 2000
     assert _moved(spark)[0] - before < 200_000
+
+
+def test_next_page_of_a_common_word_moves_little(spark, texts):
+    """The build, a word of each row and a page behind a cursor: o6_keyset_next_page."""
+    before, _ = _moved(spark)
+    scored = _built(spark, texts).search("the")
+    rows = paging.page(scored, [(F.col("score"), True), (F.col("frag_id"), False)], 20, [1.0, -1]).collect()
+    assert [r["frag_id"] for r in rows] == list(range(20))
+    assert _moved(spark)[0] - before < 200_000
